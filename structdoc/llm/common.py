@@ -58,6 +58,6 @@ def keyed_join(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, sp
     light = dim.where(~is_heavy).select(*keys, F.lit(0).alias("_deal"), F.struct(*values).alias("_light"))
     out = rows.join(F.broadcast(heavy), keys, "left")
     out = out.withColumn("_deal", F.when(F.col("_heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(9973)).cast("int") + 1))
-    out = out.join(light, [*keys, "_deal"], "left")
+    out = out.join(light.hint("shuffle_hash"), [*keys, "_deal"], "left")
     found = F.coalesce("_heavy", "_light")
     return out.select(*rows.columns, *[found[c].alias(c) for c in values])
