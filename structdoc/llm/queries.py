@@ -24,6 +24,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from structdoc.llm.pieces import digest_pieces
+
+    return digest_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from structdoc.llm.sharding import shard
 
@@ -43,7 +51,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_sharding, op6_exact_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_pieces, op4_sharding, op6_exact_dedup, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
