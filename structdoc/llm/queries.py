@@ -38,6 +38,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from structdoc.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from structdoc.llm.exact_dedup import exact_dedup
 
@@ -51,7 +57,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_pieces, op4_sharding, op6_exact_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_pieces, op4_sharding, op5_langid, op6_exact_dedup, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
