@@ -50,6 +50,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from structdoc.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from structdoc.llm.line_dedup import line_dedup
 
@@ -57,7 +63,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_pieces, op4_sharding, op5_langid, op6_exact_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_pieces, op4_sharding, op5_langid, op6_exact_dedup, op7_toxicity, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
