@@ -62,8 +62,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from structdoc.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_pieces, op4_sharding, op5_langid, op6_exact_dedup, op7_toxicity, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_pieces, op4_sharding, op5_langid, op6_exact_dedup, op7_toxicity, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
