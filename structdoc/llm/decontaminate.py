@@ -163,7 +163,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], shared, seed_words: int, thresho
         yield pa.record_batch(list(map(pa.array, cols, kinds)), [x.split()[0] for x in FOUND.split(", ")])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, min_words: int = 8, threshold: float = 0.6, rare_share: float = 0.001, shard_words: int = SHARD_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, min_words: int = 8, threshold: float = 0.5, rare_share: float = 0.001, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word for every document and item that align by the threshold or more.
 
     docs(doc_id, text, ...), benchmark(item_id, text, ...). score is the best Smith-Waterman score over
