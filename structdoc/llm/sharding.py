@@ -121,24 +121,33 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int
 
 
 def fit_into(sizes: list[int], shards: int) -> list[int]:
-    """Best-fit-decreasing at the smallest capacity found that needs no more than so many bins."""
-    low, high = max([-(-sum(sizes) // shards), *sizes, 1]), max(sum(sizes), 1)
-    best = [0] * len(sizes)
+    """Best-fit-decreasing at the smallest capacity that needs no more than so many bins; a size above the mean of what is left gets a bin of its own first."""
+    order, alone, left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), 0, sum(sizes)
+    while alone < min(len(order), shards - 1) and sizes[order[alone]] * (shards - alone) > left:
+        left -= sizes[order[alone]]
+        alone += 1
+    out, rest, bins = [0] * len(sizes), order[alone:], shards - alone
+    for number, i in enumerate(order[:alone]):
+        out[i] = number
+    of = [sizes[i] for i in rest]
+    low, high, best = max([-(-left // bins), *of, 1]), max(left, 1), [0] * len(of)
     step = low
     while step < high:  # the least capacity is nearly always within a few thousandths of the mean
-        bins, opened = best_fit_decreasing(sizes, step)
-        if opened <= shards:
-            best, high = bins, step
+        found, opened = best_fit_decreasing(of, step)
+        if opened <= bins:
+            best, high = found, step
             break
         low, step = step + 1, min(high, step + max(1, step // 512))
-    while low < high and high - low > high // 100_000:
+    while low < high and high - low > high // 1_000_000:
         middle = (low + high) // 2
-        bins, opened = best_fit_decreasing(sizes, middle)
-        if opened <= shards:
-            best, high = bins, middle
+        found, opened = best_fit_decreasing(of, middle)
+        if opened <= bins:
+            best, high = found, middle
         else:
             low = middle + 1
-    return best
+    for i, b in zip(rest, best, strict=True):
+        out[i] = alone + b
+    return out
 
 
 def shard(docs: DataFrame, n_shards: int | None = 24, capacity: int | None = None, parcels: int = PARCELS, slot_rows: int = SLOT_ROWS) -> DataFrame:
