@@ -128,41 +128,69 @@ def _document_counts(batches: Iterator[pa.RecordBatch], shared, seed_words: int)
 FOUND = "doc_id long, item_id long, score double, start_word int, end_word int"
 
 
+def matches(index: Index, texts: pa.Array, seed_words: int, threshold: float) -> list[tuple]:
+    """(text number, item, score, start, end) for texts and items that align."""
+    out = []
+    for of, at, g, h, base, low in index.hits([_lower(t) for t in texts.to_pylist()], seed_words):
+        a, b = np.searchsorted(index.codes, g, side="left"), np.searchsorted(index.codes, g, side="right")
+        times = b - a
+        pick = np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        passage, offset = index.places[0][pick], index.places[1][pick]
+        doc, diagonal = np.repeat(of, times), np.repeat(at, times) - offset
+        order = np.lexsort((diagonal, passage, doc))
+        doc, passage, diagonal = doc[order], passage[order], diagonal[order]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1])][: len(doc)])
+        best: dict[tuple[int, int], tuple] = {}
+        for x, y in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True):
+            d, (item_id, item) = int(doc[x]), index.passages[int(passage[x])]
+            first, last = int(base[d - low]), int(base[d - low + 1])
+            slack = len(item) // 2 + seed_words
+            reach = len(item) + 2 * slack
+            cuts = np.flatnonzero(np.diff(diagonal[x:y]) > reach) + 1  # far hits are regions of their own
+            for part in np.split(diagonal[x:y], cuts):
+                begin, end = max(first, first + int(part[0]) - slack), min(last, first + int(part[-1]) + len(item) + slack)
+                region = h[begin:end]
+                if np.isin(region, item).sum() < threshold * len(item):
+                    continue
+                score, s, e = align(item, region)
+                score /= MATCH * len(item)
+                if score >= threshold and score > best.get((d, item_id), (0,))[0]:
+                    best[d, item_id] = (score, begin - first + s, begin - first + e)
+        out += [(d, item_id, *found) for (d, item_id), found in best.items()]
+    return out
+
+
 def _aligned(batches: Iterator[pa.RecordBatch], shared, seed_words: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    index = shared.value
     for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
-        for of, at, g, h, base, low in index.hits([_lower(t) for t in batch.column(1).to_pylist()], seed_words):
-            a, b = np.searchsorted(index.codes, g, side="left"), np.searchsorted(index.codes, g, side="right")
-            times = b - a
-            pick = np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            passage, offset = index.places[0][pick], index.places[1][pick]
-            doc, diagonal = np.repeat(of, times), np.repeat(at, times) - offset
-            order = np.lexsort((diagonal, passage, doc))
-            doc, passage, diagonal = doc[order], passage[order], diagonal[order]
-            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1])][: len(doc)])
-            best: dict[tuple[int, int], tuple] = {}
-            for x, y in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True):
-                d, (item_id, item) = int(doc[x]), index.passages[int(passage[x])]
-                first, last = int(base[d - low]), int(base[d - low + 1])
-                slack = len(item) // 2 + seed_words
-                reach = len(item) + 2 * slack
-                cuts = np.flatnonzero(np.diff(diagonal[x:y]) > reach) + 1  # far hits are regions of their own
-                for part in np.split(diagonal[x:y], cuts):
-                    begin, end = max(first, first + int(part[0]) - slack), min(last, first + int(part[-1]) + len(item) + slack)
-                    region = h[begin:end]
-                    if np.isin(region, item).sum() < threshold * len(item):
-                        continue
-                    score, s, e = align(item, region)
-                    score /= MATCH * len(item)
-                    if score >= threshold and score > best.get((d, item_id), (0,))[0]:
-                        best[d, item_id] = (score, begin - first + s, begin - first + e)
-            out += [(ids[d], item_id, *found) for (d, item_id), found in best.items()]
+        ids = batch.column(0).to_pylist()
+        out = [(ids[d], *found) for d, *found in matches(shared.value, batch.column(1), seed_words, threshold)]
         cols = list(zip(*out, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
         yield pa.record_batch(list(map(pa.array, cols, kinds)), [x.split()[0] for x in FOUND.split(", ")])
 
 
+def _clean(batches: Iterator[pa.RecordBatch], shared, text: int, seed_words: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.ones(batch.num_rows, dtype=bool)
+        keep[[d for d, *_ in matches(shared.value, batch.column(text), seed_words, threshold)]] = False
+        yield batch.filter(pa.array(keep))
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, seed_words: int, min_words: int, rare_share: float, shard_words: int) -> Iterator:
+    """The rare seeds of each shard of the benchmark, for the executors."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards, floor = max(1, -(-total // (5 * shard_words))), int(docs.count() * rare_share)
+    for s in range(shards):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).collect()
+        index = Index([(r[0], r[1]) for r in own], seed_words, min_words)
+        counted = spark.sparkContext.broadcast(index)
+        counts = docs.select("text").mapInArrow(lambda b, i=counted: _document_counts(b, i, seed_words), "seed long, documents long")
+        index.keep_rare({r[0]: r[1] for r in counts.groupBy("seed").agg(F.sum("documents")).collect()}, floor)  # a row for each seed at most
+        yield spark.sparkContext.broadcast(index)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, min_words: int = 8, threshold: float = 0.5, rare_share: float = 0.001, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word for every document and item that align by the threshold or more.
 
@@ -173,19 +201,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, min
     which chance would match. Rows that repeat a doc_id, or have none, are reported each for itself; of items
     that repeat an item_id the best counts. Empty tables give an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("text is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards, found = max(1, -(-total // (5 * shard_words))), []
-    floor = int(docs.count() * rare_share)
-    for s in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).collect()
-        index = Index([(r[0], r[1]) for r in own], seed_words, min_words)
-        counted = spark.sparkContext.broadcast(index)
-        counts = docs.select("text").mapInArrow(lambda b, i=counted: _document_counts(b, i, seed_words), "seed long, documents long")
-        of = {r[0]: r[1] for r in counts.groupBy("seed").agg(F.sum("documents")).collect()}  # a row for each seed of the shard at most
-        index.keep_rare(of, floor)
-        rare = spark.sparkContext.broadcast(index)
-        found.append(docs.mapInArrow(lambda b, i=rare: _aligned(b, i, seed_words, threshold), FOUND))
-    return reduce(DataFrame.unionByName, found)
+    rare = _indexes(docs, benchmark, seed_words, min_words, rare_share, shard_words)
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(lambda b, i=index: _aligned(b, i, seed_words, threshold), FOUND) for index in rare])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, min_words: int = 8, threshold: float = 0.5, rare_share: float = 0.001, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, for which contaminated() finds no item."""
+    text, out = docs.columns.index("text"), docs
+    for index in _indexes(docs.select("text").where("text is not null"), benchmark, seed_words, min_words, rare_share, shard_words):
+        out = out.mapInArrow(lambda b, i=index: _clean(b, i, text, seed_words, threshold), docs.schema)
+    return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structdoc.llm.common import keyed_join, written
+from structdoc.llm.common import ascii_lower, keyed_join, written
 
 #: Bytes of text that the rolling hash takes at a time; a longer text is taken alone.
 BLOCK = 1 << 20
@@ -122,3 +122,11 @@ def exact_dedup(docs: DataFrame, average_chunk: int = 2048, id_bytes: int = 32,
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup() keeps."""
+    own = "_structdoc_row"
+    gone = exact_dedup(docs).where(~F.col("kept")).select(F.xxhash64("doc_id", "text_sha256").alias(own)).distinct()
+    digest = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    return docs.withColumn(own, F.xxhash64("doc_id", digest)).join(gone.hint("shuffle_hash"), own, "left_anti").select(*docs.columns)

@@ -96,31 +96,47 @@ def fit(sample: list[tuple[str, bytes]], landmarks: int = 192, ridge: float = 1e
     return names, np.vstack([matrix, level - middle @ w]).astype(np.float32)  # the last row is the intercept
 
 
+def predict(texts: pa.Array, model: tuple[list[str], np.ndarray]) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    names, matrix = model
+    lang, score = [], []
+    for low in range(0, len(texts), BATCH):
+        part = texts.slice(low, BATCH).to_pylist()
+        if not names:
+            lang += ["und"] * len(part)
+            score += [0.0] * len(part)
+            continue
+        x = np.zeros((len(part), PLACES), dtype=np.float32)
+        known = np.zeros(len(part), dtype=bool)
+        for i, text in enumerate(part):
+            if text and LETTER.search(text):
+                known[i] = True
+                mark_grams(text, x[i])
+        f = (x @ matrix[:-1]) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True))) + matrix[-1]
+        e = np.exp(6 * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
+        lang += [names[b] if k else "und" for b, k in zip(f.argmax(axis=1).tolist(), known.tolist(), strict=True)]
+        score += np.where(known, 1 / e.sum(axis=1), 0.0).tolist()
+    return lang, score
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    names, matrix = model.value
     for batch in batches:
-        texts = batch.column(1)
-        lang, score = [], []
-        for low in range(0, batch.num_rows, BATCH):
-            part = texts.slice(low, BATCH).to_pylist()
-            if not names:
-                lang += ["und"] * len(part)
-                score += [0.0] * len(part)
-                continue
-            x = np.zeros((len(part), PLACES), dtype=np.float32)
-            known = np.zeros(len(part), dtype=bool)
-            for i, text in enumerate(part):
-                if text and LETTER.search(text):
-                    known[i] = True
-                    mark_grams(text, x[i])
-            f = (x @ matrix[:-1]) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True))) + matrix[-1]
-            e = np.exp(6 * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
-            best = f.argmax(axis=1)
-            lang += [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            score += np.where(known, 1 / e.sum(axis=1), 0.0).tolist()
+        lang, score = predict(batch.column(1), model.value)
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
+def _accept(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lang, _ = predict(batch.column(text), model.value)
+        yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+
+def trained(docs: DataFrame, per_lang: int, landmarks: int):
+    """The model, learnt from documents that aren't held out, for the executors: languages x places, so bounded."""
+    model = fit(training_sample(docs.where(id_remainder(5) != 0).select("doc_id", "text", "lang"), per_lang), landmarks)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def identify(docs: DataFrame, per_lang: int = 500, landmarks: int = 192) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text, lang, ...).
 
@@ -131,6 +147,11 @@ def identify(docs: DataFrame, per_lang: int = 500, landmarks: int = 192) -> Data
     for itself. An empty table gives an empty result; other columns are ignored.
     """
     held_out = (id_remainder(5) == 0).alias("held_out")
-    model = fit(training_sample(docs.where(id_remainder(5) != 0).select("doc_id", "text", "lang"), per_lang), landmarks)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x places: bounded
+    shared = trained(docs, per_lang, landmarks)
     return docs.select("doc_id", "text", held_out).mapInArrow(lambda batches: _predict(batches, shared), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, per_lang: int = 500, landmarks: int = 192) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts are predicted a language: all but ``und``, that of identify()."""
+    shared, text = trained(docs, per_lang, landmarks), docs.columns.index("text")
+    return docs.mapInArrow(lambda batches: _accept(batches, shared, text), docs.schema)

@@ -216,3 +216,9 @@ def near_dedup(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3) -> D
     named = reps.join(links.withColumnRenamed("child", "rep"), "rep", "left").select("fp", F.coalesce("parent", "rep").alias("component_id"), "rows")
     out = keyed_join(fps, written(named, "fingerprint-components"), ["fp"], "rows", F.coalesce("doc_id", F.lit(0)))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, but one document for each component of near_dedup(): that of the smallest doc_id."""
+    gone = near_dedup(docs, words_in_shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
