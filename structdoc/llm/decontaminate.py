@@ -67,7 +67,7 @@ class Index:
             cuts = list(range(0, len(h), PASSAGE))
             if len(cuts) > 1 and len(h) - cuts[-1] < min_words:
                 cuts.pop()
-            for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
+            for a, b in zip(cuts, [*cuts, len(h)][1:], strict=True):
                 if b - a >= min_words:
                     g = grams(h[a:b], seed_words)
                     codes.append(g)
@@ -86,14 +86,14 @@ class Index:
         return out
 
     def keep_rare(self, documents: dict[int, int], floor: int) -> None:
-        """Keeps of each passage's seeds those in no more documents than its median seed, or than floor."""
+        """Keeps of each passage's seeds those in no more documents than twice its median seed, or than floor."""
         of = np.array([documents.get(int(c), 0) for c in self.codes.view(np.int64)], dtype=np.int64)
         keep = of <= floor
         order = np.argsort(self.places[0], kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(self.places[0][order])) + 1):
             seen = of[part][of[part] > 0]  # seeds that no document holds say nothing
             if len(seen):
-                keep[part] |= of[part] <= np.median(seen)
+                keep[part] |= of[part] <= 2 * np.median(seen)
         self.codes, self.places = self.codes[keep], self.places[:, keep]
         self.distinct = np.unique(self.codes)
         self.maybe = self._table()
@@ -141,7 +141,7 @@ def matches(index: Index, texts: pa.Array, seed_words: int, threshold: float) ->
         doc, passage, diagonal = doc[order], passage[order], diagonal[order]
         new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1])][: len(doc)])
         best: dict[tuple[int, int], tuple] = {}
-        for x, y in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True):
+        for x, y in zip(new.tolist(), [*new.tolist(), len(doc)][1:], strict=True):
             d, (item_id, item) = int(doc[x]), index.passages[int(passage[x])]
             first, last = int(base[d - low]), int(base[d - low + 1])
             slack = len(item) // 2 + seed_words
@@ -196,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, min
 
     docs(doc_id, text, ...), benchmark(item_id, text, ...). score is the best Smith-Waterman score over
     that of a full match of the item (of its best passage, if it is longer than PASSAGE words), 0 to 1. A seed is rare
-    if in no more of the documents than rare_share, or than the item's median seed, so items that leak into very many
+    if in no more of the documents than rare_share, or than twice the item's median seed, so items that leak into very many
     documents keep theirs. Null or empty texts match nothing, nor do items of fewer than min_words words,
     which chance would match. Rows that repeat a doc_id, or have none, are reported each for itself; of items
     that repeat an item_id the best counts. Empty tables give an empty result; other columns are ignored.

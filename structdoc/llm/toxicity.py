@@ -86,16 +86,16 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
     for step in range(2 * rounds):
         yes = (q @ votes + 0.5) / (q.sum() + 1)
         no = ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1)
-        prior = np.clip(q.mean(), 0.001, 0.999)
-        score = np.log(prior / (1 - prior)) + votes @ (weight * np.log(yes / no)) + (1 - votes) @ (weight * np.log((1 - yes) / (1 - no)))
-        q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if step == rounds - 1:  # what the hidden label leaves unexplained
+        if step in (0, rounds):  # what the hidden label leaves unexplained; at first, before copied voters can pass for it
             rest = votes - (q[:, None] * yes + (1 - q[:, None]) * no)
             rest -= rest.mean(axis=0)
             norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
             shared = (rest.T @ rest) / np.outer(norm, norm)
             np.fill_diagonal(shared, 0)
             weight = 1 / (1 + np.maximum(0, shared - 0.1).sum(axis=1))
+        prior = np.clip(q.mean(), 0.001, 0.999)
+        score = np.log(prior / (1 - prior)) + votes @ (weight * np.log(yes / no)) + (1 - votes) @ (weight * np.log((1 - yes) / (1 - no)))
+        q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return q, weight
 
 
