@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from structdoc.plans import pages, relations
+from structdoc.plans import literals, pages, relations
 from structdoc.plans.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 _NAMES = {
     pages: "page_title page_parts page_router page_lang page_canonical_url page_summary page_block_counts page_blocks_native page_body_score page_links text_normalize text_canonical "
-    "text_useful html_escape_decode strip_html filename_sanitize doc_dedup_first doc_line_dedup_first doc_contained_dup pipe_line_split code_language_score tex_detect",
+    "text_useful html_escape_decode strip_html filename_sanitize doc_dedup_first doc_line_dedup_first doc_contained_dup pipe_line_split code_language_score tex_detect page_dom_blocks page_nested_lists page_body_top1 doc_contained_dup_exact",
     relations: "event_merge_runs event_next_gap conv_fallback_zip count_by count_by_unknown top1_candidate topk_images first_wins_index last_wins_index media_lookup_left "
     "post_lookup_left fallback_coalesce_join semi_labeled anti_labeled asof_before_after interval_containment union_keep_distinct running_cap weighted_avg min_nearest "
-    "separator_collapse props_json_extract request_correlate session_quiescence rolling_upsert",
+    "separator_collapse props_json_extract request_correlate session_quiescence rolling_upsert session_windows",
+    literals: "payload_walk article_candidates articles article_blocks render_html completeness diagnostics_json media_index formula_index draft_lists draft_inline markdown_blocks "
+    "line_kind_classify pseudo_list_groups formula_normalize code_languages sanitize_html clean_titles",
 }
 
 QUERIES = {name: getattr(module, name) for module, names in _NAMES.items() for name in names.split()}

@@ -164,3 +164,36 @@ def tex_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     from structdoc.functions.formula import looks_like_tex
 
     return table(spark, sf_dir, "documents").where(looks_like_tex(F.col("text"))).select("doc_id")
+
+
+def page_dom_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same blocks as page_blocks_native, from the element table."""
+    from structdoc.operators import dom
+    from structdoc.sources.html import html_nodes
+
+    nodes = html_nodes(table(spark, sf_dir, "pages")).persist()
+    found = dom.page_blocks(nodes).where("type IN ('heading', 'paragraph')")
+    return found.select("page_id", F.col("block_idx").cast("long").alias("block_idx"), "type", text.collapse(F.col("text")).alias("text"))
+
+
+def page_nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from structdoc.operators import dom
+    from structdoc.sources.html import html_nodes
+
+    return dom.list_items(html_nodes(table(spark, sf_dir, "pages")).persist()).select("page_id", "pos", "text", F.col("parent_item_id").isNotNull().alias("nested"))
+
+
+def page_body_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best article element of each page, from the element table."""
+    from structdoc.operators import dom
+    from structdoc.sources.html import html_nodes
+
+    return dom.article_root(html_nodes(table(spark, sf_dir, "pages")).persist()).select("page_id")
+
+
+def doc_contained_dup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stay when each is compared with the six kept before it."""
+    from structdoc.operators.blocks import drop_contained
+
+    lines = document_lines(spark, sf_dir).select("doc_id", F.col("pos").cast("int").alias("block_idx"), F.lit("paragraph").alias("type"), F.lit(None).cast("string").alias("html"), F.col("line").alias("text"))
+    return drop_contained(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))

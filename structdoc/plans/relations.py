@@ -163,3 +163,11 @@ def rolling_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of a capture that replaces an item when a larger one comes: for each user and type the largest value."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
     return lookup.keep_best(events, ["user_id", "event_type"], F.col("value"), "event_id")
+
+
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user by the operator that streams use too."""
+    from structdoc.streaming.capture import quiet_sessions
+
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return quiet_sessions(events, ["user_id"], "ts", "6 hours").select("user_id", F.unix_micros("start").alias("start"), "n")

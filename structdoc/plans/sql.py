@@ -206,3 +206,12 @@ ORACLES = {
         SELECT user_id, session, count(*) AS n, min(tm) AS start, max(tm) AS "end" FROM s GROUP BY ALL""",
     "rolling_upsert": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1",
 }
+ORACLES["page_dom_blocks"] = ORACLES["page_blocks_native"]
+ORACLES["page_body_top1"] = f"SELECT page_id FROM ({ORACLES['page_body_score']})"
+ORACLES["page_nested_lists"] = f"""
+    WITH n AS (SELECT page_id, regexp_extract_all({visible('html')}, '(?s)<li>(.*?)</li>', 1) AS l FROM pages)
+    SELECT page_id, unnest(range(len(l)))::INTEGER AS pos, {collapse(spaced('unnest(l)'))} AS text, false AS nested FROM n"""
+ORACLES["session_windows"] = f"""
+    WITH g AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY user_id ORDER BY tm) < 21600000000 THEN 0 ELSE 1 END AS new FROM ({EVENTS})),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY tm ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id, min(tm) AS start, count(*) AS n FROM s GROUP BY user_id, session"""
