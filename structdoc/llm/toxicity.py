@@ -55,7 +55,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in np.unique(own).tolist():
                     places[i] = np.unique(codes[own == i])
             marks = [[bool(p.search(t or "")) for p in PATTERNS] for t in part]
-            yield pa.record_batch([batch.column(0).slice(low, 256), pa.array([p.tolist() for p in places], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.bool_()))], ["toxic", "places", "marks"])
+            yield pa.record_batch([batch.column(0).slice(low, 256), pa.array([p.astype("<i4").tobytes() for p in places], pa.binary()), pa.array(marks, pa.list_(pa.bool_()))], ["toxic", "places", "marks"])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list:
@@ -65,8 +65,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list:
     drawn = labels.join(F.broadcast(rates), "toxic").where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")  # some 4 x per_label rows
-    found = rows.mapInArrow(_sampled, "toxic int, places array<int>, marks array<boolean>").collect()
-    return [(r["toxic"], np.array(r["places"], dtype=np.int64), list(r["marks"])) for r in found]
+    found = rows.mapInArrow(_sampled, "toxic int, places binary, marks array<boolean>").collect()
+    return [(r["toxic"], np.frombuffer(r["places"], dtype="<i4"), list(r["marks"])) for r in found]
 
 
 def mine_lexicons(label: np.ndarray, places: list[np.ndarray], most: int = 480) -> np.ndarray:
