@@ -79,8 +79,12 @@ def mine_lexicons(label: np.ndarray, places: list[np.ndarray], most: int = 480)
     return lexicon
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior probability of label 1 for each row of votes, and each voter's weight after correlations."""
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior probability of label 1 for each row of votes, and each voter's weight after correlations.
+
+    The anchor is a voter that is no lexicon or pattern, the given label: it counts in full, and nothing is
+    taken off others for agreeing with it.
+    """
     weight = np.ones(votes.shape[1])
     q = np.clip(start, 0.05, 0.95)
     for step in range(2 * rounds):
@@ -92,6 +96,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
             norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
             shared = (rest.T @ rest) / np.outer(norm, norm)
             np.fill_diagonal(shared, 0)
+            if anchor is not None:
+                shared[anchor] = shared[:, anchor] = 0
             weight = 1 / (1 + np.maximum(0, shared - 0.1).sum(axis=1))
         prior = np.clip(q.mean(), 0.001, 0.999)
         score = np.log(prior / (1 - prior)) + votes @ (weight * np.log(yes / no)) + (1 - votes) @ (weight * np.log((1 - yes) / (1 - no)))
@@ -150,7 +156,7 @@ def fit(sample: list) -> tuple[np.ndarray, float]:
         votes[i, found[found >= 0]] = 1
         votes[i, LEXICONS:-1] = marks
         votes[i, -1] = y
-    q, _ = label_model(votes, label.astype(float))
+    q, _ = label_model(votes, label.astype(float), anchor=votes.shape[1] - 1)
     return train_linear(places, q)
 
 
