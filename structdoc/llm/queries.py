@@ -84,7 +84,28 @@ def oracle_sql() -> dict[str, str]:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: 32 letters of base32 from the 160 bits of a SHA-1, five at a time.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '')"""
+
 ORACLE_SQL = {
+    "op1_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_page FROM pages),
+        b AS (SELECT page_id, first_page, octet_length(encode(body)) AS payload_bytes,
+                     array_to_string(list_transform(string_split(sha1(body), ''), lambda c: lpad(bin(position(c IN '0123456789abcdef') - 1), 4, '0')), '') AS bits FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM b
+    """,
+    "op10_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        e AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM w),
+        s AS (SELECT *, string_agg(word, ' ') OVER f AS win, count(*) OVER f AS n FROM e WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        m AS (SELECT win, min(doc_id) AS first_doc FROM s WHERE n = 50 GROUP BY win),
+        d AS (SELECT s.doc_id, s.pos, s.word, coalesce(m.first_doc < s.doc_id, false) AS seen FROM s LEFT JOIN m ON s.n = 50 AND s.win = m.win),
+        c AS (SELECT doc_id, pos, word, max(seen::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM d),
+        g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)
+    """,
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS norm FROM documents),
         g AS (SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
