@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from structdoc.llm.common import shared_path
 from structdoc.llm.decontaminate import without_contaminated
 from structdoc.llm.exact_dedup import without_copies
+from structdoc.llm.jaccard import without_similar
 from structdoc.llm.langid import accepted
 from structdoc.llm.pieces import digest_pieces
-from structdoc.llm.simhash import without_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of documents that SimHash links, the one with the smallest doc_id; shingles and radius are those of op2."""
-    return without_near_copies(docs)
+    """Keeps of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles the one with the smallest doc_id."""
+    return without_similar(docs, words_in_shingle=5, similarity=0.8)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
