@@ -1,60 +1,65 @@
 """Language identification by a string kernel.
 
 The blended-spectrum presence kernel of two texts is the number of byte n-grams of length 1 to 3 that both hold,
-divided by the root of the product of their own numbers. Ridge regression, one language
+divided by the root of the product of their own numbers. Texts are lower-cased and ASCII bytes other than letters are one
+blank, so that every n-gram has a number of its own and nothing is hashed. Ridge regression, one language
 against the rest, works on the Nystroem map of that kernel for a bounded set of landmark texts. The kernel is linear
-in the presence vectors, so landmarks, map and weights multiply to one matrix, and texts are
-scored by batched matrix products of presence vectors with it.
+in the presence vectors, so landmarks, map and weights multiply to one matrix with a row for each n-gram of the
+landmarks, and texts are scored by batched matrix products of presence vectors with it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
-#: Places of hashed n-grams in a presence vector.
-PLACES = 1 << 14
+LETTER = regex.compile(r"\p{L}")
 BLOCK = 1 << 20
-BATCH = 128
-#: A-Z to a-z; other ASCII bytes than letters to a space.
-FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
-MIX = [np.random.default_rng(77 + n).integers(1, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for n in (1, 2, 3)]
+#: Entries of the presence vectors that are scored at a time.
+ENTRIES = 1 << 22
+#: Numbers of folded bytes: 0 for blanks, then a to z, then the bytes outside ASCII.
+FOLD = np.array([c - 64 if 65 <= c <= 90 else c - 96 if 97 <= c <= 122 else c - 101 if c >= 128 else 0 for c in range(256)], dtype=np.int32)
+SYMBOLS = 155
+#: n-grams of one, two and three symbols are numbered one after the other.
+STARTS = (0, SYMBOLS, SYMBOLS + SYMBOLS**2)
+PLACES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 
 
-def mark_grams(text: str, row: np.ndarray) -> None:
-    """Sets in row the places of the n-grams of length 1 to 3 of a whole text."""
-    data = b" " + text.lower().encode() + b" "
+@lru_cache(maxsize=1)
+def _last_seen() -> np.ndarray:
+    return np.zeros(PLACES, dtype=np.int32)
+
+
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """The codes, each once: of equal ones that which was noted last."""
+    seen, order = _last_seen(), np.arange(len(codes), dtype=np.int32)
+    seen[codes] = order
+    return codes[seen[codes] == order]
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """The numbers of the distinct n-grams of length 1 to 3 of a whole text."""
+    data, parts = b" " + text.lower().encode() + b" ", []
     for low in range(0, len(data), BLOCK):
         b = FOLD[np.frombuffer(data[low : low + BLOCK + 2], dtype=np.uint8)]
-        blank = b == 32
-        twice = blank[1:] & blank[:-1]
-        b = b.astype(np.uint32) + np.uint32(1)
-        for n, mix in enumerate(MIX, start=1):
-            if len(b) < n:
-                break
-            code = b[: len(b) - n + 1] * mix[0]
-            for i in range(1, n):
-                code += b[i : len(b) - n + 1 + i] * mix[i]
-            code ^= code >> np.uint32(15)
-            code *= np.uint32(0x2C1B3C6D)
-            keep = ~twice if n == 2 else ~(twice[:-1] | twice[1:]) if n == 3 else ~blank
-            row[(code[keep] >> np.uint32(18)).astype(np.int64)] = 1
-
-
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = b == 0
+        twice = blank[1:] & blank[:-1]  # of blanks in a row one counts
+        two = b[:-1] * SYMBOLS + b[1:]
+        three = two[:-1] * SYMBOLS + b[2:]
+        parts.append(distinct(np.concatenate([b[~blank], two[~twice] + STARTS[1], three[~(twice[:-1] | twice[1:])] + STARTS[2]])))
+    return parts[0] if len(parts) == 1 else distinct(np.concatenate(parts))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits = []
-        for value in batch.column(1):
-            row = np.zeros(PLACES, dtype=np.uint8)
-            mark_grams(value.as_py(), row)
-            bits.append(np.packbits(row).tobytes())
-        yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary())], ["lang", "bits"])
+        codes = [np.sort(gram_codes(value.as_py())).astype("<i4").tobytes() for value in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(codes, pa.binary())], ["lang", "grams"])
 
 
 def id_remainder(modulus: int):
@@ -63,29 +68,42 @@ def id_remainder(modulus: int):
 
 
 def training_sample(docs: DataFrame, per_lang: int) -> list[tuple[str, bytes]]:
-    """About per_lang labelled documents of each language, taken by a hash of doc_id: their languages and presence bits."""
+    """About per_lang labelled documents of each language, taken by a hash of doc_id: their languages and n-grams."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     rates = labelled.groupBy("lang").count().select("lang", (F.lit(per_lang) / F.col("count")).alias("rate"))
     drawn = labelled.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
-    rows = drawn.select("lang", "text").mapInArrow(_presence, "lang string, bits binary").collect()
-    return sorted((r["lang"], bytes(r["bits"])) for r in rows)
+    rows = drawn.select("lang", "text").mapInArrow(_grams, "lang string, grams binary").collect()
+    return sorted((r["lang"], bytes(r["grams"])) for r in rows)
+
+
+def presence(texts: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """A row for each text with 1 for each of the known n-grams, a sorted list, that it holds."""
+    x = np.zeros((len(texts), len(known)), dtype=np.float32)
+    for i, codes in enumerate(texts):
+        at = np.searchsorted(known, codes)
+        at[at == len(known)] = 0
+        x[i, at[known[at] == codes]] = 1
+    return x
 
 
-def fit(sample: list[tuple[str, bytes]], landmarks: int = 192, ridge: float = 1e-3) -> tuple[list[str], np.ndarray]:
-    """The languages, and the matrix by which normed presence vectors are scored."""
+def fit(sample: list[tuple[str, bytes]], landmarks: int = 192, ridge: float = 1e-3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The languages, the n-grams of the landmarks, and the matrix by which presence vectors over these are scored; its last row is the intercept."""
     names = sorted({lang for lang, _ in sample})
     if not names:
-        return [], np.zeros((PLACES, 0), dtype=np.float32)
-    x = np.unpackbits(np.array([np.frombuffer(bits, dtype=np.uint8) for _, bits in sample]), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+        return [], np.zeros(0, dtype=np.int32), np.zeros((1, 0), dtype=np.float32)
+    texts = [np.frombuffer(codes, dtype="<i4") for _, codes in sample]
     y = np.array([names.index(lang) for lang, _ in sample])
     each = max(1, landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(y == c)[:: max(1, int((y == c).sum()) // each)][:each] for c in range(len(names))])
-    marks = x[chosen]
+    known = np.unique(np.concatenate([texts[i] for i in chosen]))
+    norm = lambda of: np.sqrt(np.maximum(1, np.array([len(t) for t in of])))[:, None]
+    marks = presence([texts[i] for i in chosen], known) / norm([texts[i] for i in chosen]).astype(np.float32)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > values.max() * 1e-8
     to_map = vectors[:, keep] / np.sqrt(values[keep])  # kernel values with the landmarks -> Nystroem features
-    z = (x @ marks.T).astype(np.float64) @ to_map
+    step = max(1, ENTRIES // len(known))
+    kernel = np.concatenate([(presence(texts[a : a + step], known) @ marks.T) / norm(texts[a : a + step]) for a in range(0, len(texts), step)])
+    z = kernel @ to_map
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = (len(y) / len(names) / np.bincount(y, minlength=len(names)))[y][:, None]
     middle = (z * weight).sum(axis=0) / weight.sum()
@@ -93,29 +111,27 @@ def fit(sample: list[tuple[str, bytes]], landmarks: int = 192, ridge: float = 1e
     zc = z - middle
     w = np.linalg.solve((zc * weight).T @ zc + ridge * len(y) * np.eye(z.shape[1]), (zc * weight).T @ (target - level))
     matrix = marks.T.astype(np.float64) @ (to_map @ w)
-    return names, np.vstack([matrix, level - middle @ w]).astype(np.float32)  # the last row is the intercept
+    return names, known, np.vstack([matrix, level - middle @ w]).astype(np.float32)
 
 
-def predict(texts: pa.Array, model: tuple[list[str], np.ndarray]) -> tuple[list[str], list[float]]:
+def predict(texts: pa.Array, model: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[list[str], list[float]]:
     """The language and score of each text."""
-    names, matrix = model
+    names, known, matrix = model
     lang, score = [], []
-    for low in range(0, len(texts), BATCH):
-        part = texts.slice(low, BATCH).to_pylist()
+    step = max(1, min(512, ENTRIES // max(1, len(known))))
+    for low in range(0, len(texts), step):
+        part = texts.slice(low, step).to_pylist()
         if not names:
             lang += ["und"] * len(part)
             score += [0.0] * len(part)
             continue
-        x = np.zeros((len(part), PLACES), dtype=np.float32)
-        known = np.zeros(len(part), dtype=bool)
-        for i, text in enumerate(part):
-            if text and LETTER.search(text):
-                known[i] = True
-                mark_grams(text, x[i])
-        f = (x @ matrix[:-1]) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True))) + matrix[-1]
+        lettered = np.array([bool(text and LETTER.search(text)) for text in part])
+        codes = [gram_codes(text) if has else np.zeros(0, dtype=np.int32) for text, has in zip(part, lettered, strict=True)]
+        size = np.sqrt(np.maximum(1, np.array([len(c) for c in codes], dtype=np.float32)))[:, None]
+        f = (presence(codes, known) @ matrix[:-1]) / size + matrix[-1]
         e = np.exp(6 * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
-        lang += [names[b] if k else "und" for b, k in zip(f.argmax(axis=1).tolist(), known.tolist(), strict=True)]
-        score += np.where(known, 1 / e.sum(axis=1), 0.0).tolist()
+        lang += [names[b] if k else "und" for b, k in zip(f.argmax(axis=1).tolist(), lettered.tolist(), strict=True)]
+        score += np.where(lettered, 1 / e.sum(axis=1), 0.0).tolist()
     return lang, score
 
 
@@ -125,14 +141,14 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
-def _accept(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
+def _accept(batches: Iterator[pa.RecordBatch], model, text: int, languages: frozenset[str] | None, min_score: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lang, _ = predict(batch.column(text), model.value)
-        yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+        found = zip(*predict(batch.column(text), model.value), strict=True)
+        yield batch.filter(pa.array([lang != "und" and score >= min_score and (languages is None or lang in languages) for lang, score in found], pa.bool_()))
 
 
 def trained(docs: DataFrame, per_lang: int, landmarks: int):
-    """The model, learnt from documents that aren't held out, for the executors: languages x places, so bounded."""
+    """The model, learnt from documents that aren't held out, for the executors: at most languages x PLACES numbers."""
     model = fit(training_sample(docs.where(id_remainder(5) != 0).select("doc_id", "text", "lang"), per_lang), landmarks)
     return docs.sparkSession.sparkContext.broadcast(model)
 
@@ -143,7 +159,7 @@ def identify(docs: DataFrame, per_lang: int = 500, landmarks: int = 192) -> Data
     Learns from text and lang of a sample of about per_lang documents of each language among those that
     aren't held out (crc32 of doc_id as text modulo 5 is 0); documents without lang, text, letters or
     doc_id aren't learnt from. Predicts from the whole text alone. ``und`` with score 0 is given to texts that are null or
-    have no letter, and to all if nothing could be learnt. Rows that repeat a doc_id are predicted each
+    have no letter (Unicode category L), and to all if nothing could be learnt. Rows that repeat a doc_id are predicted each
     for itself. An empty table gives an empty result; other columns are ignored.
     """
     held_out = (id_remainder(5) == 0).alias("held_out")
@@ -151,7 +167,8 @@ def identify(docs: DataFrame, per_lang: int = 500, landmarks: int = 192) -> Data
     return docs.select("doc_id", "text", held_out).mapInArrow(lambda batches: _predict(batches, shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, per_lang: int = 500, landmarks: int = 192) -> DataFrame:
-    """The rows of docs, with all their columns, whose texts are predicted a language: all but ``und``, that of identify()."""
+def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None, min_score: float = 0.0, per_lang: int = 500, landmarks: int = 192) -> DataFrame:
+    """The rows of docs, with all their columns, for which identify() gives one of the languages (None: any but ``und``) with at least min_score."""
     shared, text = trained(docs, per_lang, landmarks), docs.columns.index("text")
-    return docs.mapInArrow(lambda batches: _accept(batches, shared, text), docs.schema)
+    wanted = None if languages is None else frozenset(languages)
+    return docs.mapInArrow(lambda batches: _accept(batches, shared, text, wanted, min_score), docs.schema)

@@ -80,17 +80,17 @@ def _blocks(texts: list[bytes], n: int, k: int) -> Iterator[tuple]:
             yield low + of, first + s - base[of], count, seed, context, (block, starts, ends, first + s)
 
 
-RUNS = "seed long, context long, doc_id long, row long, start int, windows int"
+RUNS = "seed long, context long, doc_id long, row0 long, row1 long, start int, windows int"
 
 
 def _emit(batches: Iterator[pa.RecordBatch], n: int, k: int, full: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+        ids, row0, row1 = (batch.column(i).to_numpy() for i in range(3))
+        texts = [(t or "").encode() for t in batch.column(3).to_pylist()]
         for of, start, count, seed, context, _ in _blocks(texts, n, k):
             if full:
-                cols = [seed.view(np.int64), context.view(np.int64), ids[of], rows[of], start.astype(np.int32), count.astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in cols], ["seed", "context", "doc_id", "row", "start", "windows"])
+                cols = [seed.view(np.int64), context.view(np.int64), ids[of], row0[of], row1[of], start.astype(np.int32), count.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in cols], ["seed", "context", "doc_id", "row0", "row1", "start", "windows"])
             else:
                 once = np.unique(np.rec.fromarrays([of, seed.view(np.int64)]))
                 yield pa.record_batch([pa.array(once.f1), pa.array(ids[once.f0])], ["seed", "doc_id"])
@@ -273,16 +273,18 @@ def substring_dedup(docs: DataFrame, window_words: int = 50, seed_words: int = S
     window of window_words consecutive words which also starts in a document with a smaller doc_id; the
     others are joined by one space. Rows that repeat a doc_id never make each other lose words. A row with
     a null doc_id is compared with none and loses nothing. An empty table gives an empty result; other
-    columns are ignored. window_words must exceed seed_words by 1 to 62.
+    columns are ignored. window_words must exceed seed_words by 1 to 62. Rows and contexts are told apart by 128 bits
+    of hash; what differs in a context's words is decided by the words themselves.
     """
     spark, n, k = docs.sparkSession, window_words, seed_words
-    docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    named = docs.where("doc_id is not null").select("doc_id", "row", "text")
+    row = ["row0", "row1"]
+    docs = docs.select("doc_id", "text", *(F.xxhash64(F.lit(s), "doc_id", "text").alias(c) for s, c in zip((7, 77), row, strict=True)))
+    named = docs.where("doc_id is not null").select("doc_id", *row, "text")
     seeds = named.mapInArrow(partial(_emit, n=n, k=k, full=False), "seed long, doc_id long")
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("rows")).where("first_doc < last_doc")
     shared = written(shared.drop("last_doc"), "shared-seeds")
     every = named.mapInArrow(partial(_emit, n=n, k=k, full=True), RUNS)
-    found = written(keyed_join(every, shared, ["seed"], "rows", F.struct("row", "start")).where("first_doc is not null").drop("first_doc"), "shared-runs")
+    found = written(keyed_join(every, shared, ["seed"], "rows", F.struct("row0", "start")).where("first_doc is not null").drop("first_doc"), "shared-runs")
 
     contexts = written(found.groupBy("seed", "context").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "contexts")
     several = written(contexts.groupBy("seed").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1").withColumn("weight", F.col("n_contexts")), "several")
@@ -301,9 +303,9 @@ def substring_dedup(docs: DataFrame, window_words: int = 50, seed_words: int = S
     masks = masks.unionByName(_windows_of_large(texts.where(F.col("n_contexts") > most_contexts), n))
 
     firsts = contexts.withColumnRenamed("doc_id", "first_doc").join(masks, ["seed", "context"], "left")
-    marked = keyed_join(found, written(firsts, "first-contexts"), ["seed", "context"], "rows", F.struct("row", "start"))
+    marked = keyed_join(found, written(firsts, "first-contexts"), ["seed", "context"], "rows", F.struct("row0", "start"))
     all_bits = F.expr("shiftleft(1L, windows) - 1L")
     marked = marked.withColumn("bits", F.when(F.col("doc_id") > F.col("first_doc"), all_bits).otherwise(F.coalesce("bits", F.lit(0))))
-    hits = marked.where("bits <> 0").groupBy("row").agg(F.collect_list(F.struct("start", "bits")).alias("hits"))
-    ready = docs.join(hits.hint("shuffle_hash"), "row", "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("hits")).alias("hits"))
+    hits = marked.where("bits <> 0").groupBy(*row).agg(F.collect_list(F.struct("start", "bits")).alias("hits"))
+    ready = docs.join(hits, row, "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("hits")).alias("hits"))
     return ready.mapInArrow(partial(_remove, n=n), "doc_id long, n_words long, n_removed long, kept_text string")

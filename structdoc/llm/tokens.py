@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
-_RNG = np.random.default_rng(31337)
-BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+#: Bytes above which a span is hashed alone.
+LONG_SPAN = 64
 BASE = 0x9E3779B97F4A7C15
 #: Words: everything but U+0020 and U+0009 to U+000D.
 WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
@@ -43,17 +44,26 @@ def spans(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any span comes."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[data] * powers(len(data))[0][: len(data)], out=out[1:])
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time are mixed in, long spans go through XXH3."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    out = mix(size.astype(np.uint64) + np.uint64(BASE))
+    live = np.flatnonzero(size <= LONG_SPAN)
+    for at in range(0, LONG_SPAN, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        chunk, left = eight[starts[live] + at], size[live] - at
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix(out[live] * np.uint64(BASE) ^ chunk)
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]].tobytes())
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
-
-
 def words(data: bytes, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of a text of any length."""
     out, at, all_bytes = [], 0, np.frombuffer(data, dtype=np.uint8)
@@ -63,7 +73,7 @@ def words(data: bytes, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarra
             end += 1
         piece = all_bytes[at:end]
         starts, ends = spans(piece, inside)
-        out.append((starts + at, ends + at, span_hash(sums(piece), starts, ends)))
+        out.append((starts + at, ends + at, span_hash(piece, starts, ends)))
         at = end
     if not out:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structdoc.llm.langid import id_remainder
-from structdoc.llm.tokens import ALPHA, joined, span_hash, spans, sums
+from structdoc.llm.tokens import ALPHA, joined, span_hash, spans
 
 #: Places of hashed features.
 PLACES = 1 << 20
@@ -34,13 +34,12 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
     for first, block, at in joined([(t or "").lower().encode() for t in texts]):
         data = np.frombuffer(block, dtype=np.uint8)
         starts, ends = spans(data, ALPHA)
-        prefix = sums(data)
         own, codes = [], []
         of = np.searchsorted(at, starts, side="right") - 1 + first
         for n, size in enumerate((None, *BEGINNINGS)):
             pick = np.ones(len(starts), dtype=bool) if size is None else ends - starts > size
             s = starts[pick]
-            codes.append(((span_hash(prefix, s, ends[pick] if size is None else s + size) * np.uint64(2 * n + 1)) >> np.uint64(44)).astype(np.int64))
+            codes.append(((span_hash(data, s, ends[pick] if size is None else s + size) * np.uint64(2 * n + 1)) >> np.uint64(44)).astype(np.int64))
             own.append(of[pick])
         yield np.concatenate(own), np.concatenate(codes), len(at) - 1
 

@@ -78,3 +78,11 @@ def test_line_dedup_equals_brute_force(spark):
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup(docs(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_rows_of_one_doc_id_lose_their_own_lines_alone(spark):
+    data = [(1, "shared line one here\nzzz"), (2, "shared line one here\nother words stay"), (2, "unique precious line\nmore unique text"), (None, "shared line one here"), (None, "shared line one here")]
+    got = line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept_text) for r in got) == [
+        (0, 1, 0, "shared line one here"), (0, 1, 0, "shared line one here"), (1, 2, 0, data[0][1]), (2, 2, 0, data[2][1]), (2, 2, 1, "other words stay"),
+    ]

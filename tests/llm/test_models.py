@@ -43,12 +43,54 @@ def test_no_language_to_learn(spark):
     assert langid.identify(empty(spark)).collect() == []
 
 
-def test_grams_of_long_texts_are_all_marked(monkeypatch):
-    text, one, many = " ".join(r[1] or "" for r in rows()), np.zeros(langid.PLACES), np.zeros(langid.PLACES)
-    langid.mark_grams(text, one)
+def brute_grams(text):
+    """The folded n-grams of a text as byte strings; of blanks in a row one counts."""
+    data = (" " + text.lower() + " ").encode()
+    folded = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in data)
+    grams = {folded[i : i + n] for n in (1, 2, 3) for i in range(len(folded) - n + 1)}
+    return {g for g in grams if b"  " not in g and g != b" "}
+
+
+def test_every_gram_has_its_own_number(monkeypatch):
+    texts = [r[1] or "" for r in rows()] + ["½ ÆØÅ ß 日本語", "a--b  c"]
+    for text in texts:
+        codes = langid.gram_codes(text)
+        assert len(set(codes.tolist())) == len(codes) == len(brute_grams(text)) and codes.max(initial=0) < langid.PLACES
+    whole = langid.gram_codes(" ".join(texts))
     monkeypatch.setattr(langid, "BLOCK", 1000)
-    langid.mark_grams(text, many)
-    assert (one == many).all()
+    assert set(langid.gram_codes(" ".join(texts)).tolist()) == set(whole.tolist())
+
+
+def test_scores_are_those_of_kernel_ridge_regression(languages):
+    """With every sampled text a landmark the Nystroem map is exact: the scores are those of the dense kernel."""
+    sample = sorted((lang, np.sort(langid.gram_codes(text)).astype("<i4").tobytes()) for _, text, lang in languages[:60])
+    names, known, matrix = langid.fit(sample, landmarks=10_000)
+    grams = [set(np.frombuffer(codes, dtype="<i4").tolist()) for _, codes in sample]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in grams] for a in grams])
+    y = np.array([names.index(lang) for lang, _ in sample])
+    weight = len(y) / len(names) / np.bincount(y)[y]
+    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
+    share = weight / weight.sum()
+    level = share @ target
+    one = np.ones((len(y), 1))
+    centred = k - one @ (share @ k)[None] - (k @ share)[:, None] @ one.T + share @ k @ share
+    alpha = np.linalg.solve(centred * weight[None] + 1e-3 * len(y) * np.eye(len(y)), target - level)
+    for _, text, _ in languages[60:80]:
+        g = set(langid.gram_codes(text).tolist())
+        row = np.array([kernel(g, b) for b in grams])
+        expected = (row - share @ k - row @ share + share @ k @ share) * weight @ alpha + level
+        x = langid.presence([np.array(sorted(g))], known)
+        assert np.allclose(x @ matrix[:-1] / np.sqrt(len(g)) + matrix[-1], expected, atol=1e-3)
+
+
+def test_numerals_are_no_letters(spark, languages):
+    odd = [(2000 + i, t) for i, t in enumerate(["½", "²", "①", "Ⅷ", "٣", "日", "ª"])]
+    frame = spark.createDataFrame(languages + [(i, t, None) for i, t in odd], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame, per_lang=60).collect()}
+    assert [got[i] == "und" for i, _ in odd] == [True, True, True, True, True, False, False]
+    kept = langid.accepted(frame, languages=("aa", "bb"), min_score=0.5, per_lang=60).collect()
+    assert {r.lang for r in kept} - {None} == {"aa", "bb"}
 
 
 def test_toxic_held_out_texts(spark):

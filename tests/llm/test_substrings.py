@@ -62,3 +62,27 @@ def test_matching_statistics():
 
 def test_shard_marks_windows_of_smaller_documents():
     assert match_shard([(1, 10, "a b c d"), (2, 20, "z b c d"), (2, 30, "a b c y"), (3, 40, "a b c d")], 3) == [(20, 2), (30, 1), (40, 3)]
+
+
+def morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_words_that_fool_a_polynomial_hash_stay_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(words[:31] + [morse(2048, *ab)] + words[32:])) for i, ab in enumerate(("ab", "ba"))]
+    got = substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    short = [(i, " ".join(morse(64, *ab) for ab in (("ab", "ba") * 30)[i : i + 60])) for i in range(2)]  # as words they differ by one place only
+    got = substring_dedup(spark.createDataFrame(short, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(short, 50)
+
+
+def test_span_hashes_tell_spans_apart():
+    import numpy as np
+    from structdoc.llm.tokens import words
+
+    spans = [b"a" * n for n in range(1, 200)] + [b"b" + b"a" * n for n in range(1, 200)] + ["é".encode(), b"x\0", b"x\0\0"]
+    starts, ends, h = words(b" ".join(spans))
+    assert len(np.unique(h)) == len(spans) and (ends - starts).tolist() == list(map(len, spans))
+    assert (words(b"\t".join(spans[::-1]))[2][::-1] == h).all()
