@@ -1,12 +1,13 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from structdoc.llm import pieces as P
-from structdoc.llm.sharding import CapacityTree, best_fit_decreasing, shard
+from structdoc.llm.sharding import CapacityTree, best_fit_decreasing, fit_into, rounded, shard
 
 from tests.llm.fixtures import docs, empty, rows
 
@@ -77,20 +78,71 @@ def test_tree_finds_the_tightest_bin():
             key = held.pop(rng.randrange(len(held)))
             tree.remove(key)
         else:
-            key = (rng.randrange(500), i)
-            held.append(key)
-            tree.add(key)
-        size = rng.randrange(520)
-        assert tree.tightest(size) == min((k for k in held if k[0] >= size), default=None)
-
-
-def test_best_fit_decreasing_by_hand():
-    assert best_fit_decreasing([4, 8, 1, 4, 2, 1], 10) == ([1, 0, 1, 1, 0, 1], 2)
+            key = rng.randrange(10**6)
+            if key not in held:
+                held.append(key)
+                tree.add(key)
+        size = rng.randrange(10**6)
+        assert tree.tightest(size) == min((k for k in held if k >= size), default=None)
+
+
+def one_by_one(sizes, capacity):
+    """Best-fit-decreasing of single items with a list of bins: the bins' contents."""
+    rooms, bins = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= size]
+        if fits:
+            i = min(fits)[1]
+        else:
+            rooms.append(max(capacity, size))
+            bins.append([])
+            i = len(rooms) - 1
+        rooms[i] -= size
+        bins[i].append(size)
+    return bins
+
+
+def unpack(histogram, segments):
+    sizes, bins = [s for s, n in histogram for _ in range(n)], defaultdict(list)
+    for start, first, per, n in segments:
+        for i in range(n):
+            bins[first + i // per].append(sizes[start + i])
+    assert sum(map(len, bins.values())) == len(sizes)
+    return bins
+
+
+def test_packing_a_histogram_equals_packing_items():
+    rng = random.Random(9)
+    for _ in range(300):
+        capacity = rng.randint(5, 60)
+        sizes = [rng.randint(1, rng.choice([6, 25, 70])) for _ in range(rng.randint(0, 120))]
+        histogram = sorted(Counter(sizes).items(), reverse=True)
+        segments, opened = best_fit_decreasing(histogram, capacity)
+        bins = unpack(histogram, segments)
+        assert opened == len(bins) and sorted(map(sum, bins.values())) == sorted(map(sum, one_by_one(sizes, capacity)))  # bins with equal room are alike
+
+
+def test_fit_into_is_the_least_capacity():
+    """Against a search over all capacities by packing one item after the other."""
+    rng = random.Random(10)
+    for _ in range(60):
+        sizes = [rng.randint(8, rng.choice([20, 60])) for _ in range(rng.randint(5, 80))]
+        shards = rng.randint(2, 6)
+        histogram = sorted(Counter(sizes).items(), reverse=True)
+        found = [sum(b) for b in unpack(histogram, fit_into(histogram, shards)).values()]
+        mean = sum(sizes) / shards
+        if max(sizes) > mean:
+            continue
+        least = next(c for c in range(max(max(sizes), -(-sum(sizes) // shards)), sum(sizes) + 1) if len(one_by_one(sizes, c)) <= shards)
+        assert len(found) <= shards and max(found) <= least * 1.06 + 1
+    assert fit_into([], 3) == []
+    alone = unpack([(1000, 2), (3, 40)], fit_into([(1000, 2), (3, 40)], 4))
+    assert sorted(map(sum, alone.values())) == [60, 60, 1000, 1000]
 
 
 def test_shards_hold_groups_and_are_near_equal(spark):
     data = [(i, "t%d " % (i % 150) * (1 + i % 7)) for i in range(900)]
-    out = shard(spark.createDataFrame(data, "doc_id long, text string"), n_shards=6, parcels=64, slot_rows=20).collect()
+    out = shard(spark.createDataFrame(data, "doc_id long, text string"), n_shards=6, slot_rows=20).collect()
     check(data, out, 6)
     sizes = defaultdict(int)
     for r in out:
@@ -117,6 +169,12 @@ def test_shards_of_awkward_rows(spark):
     assert shard(empty(spark)).collect() == []
 
 
+def test_slots_do_not_depend_on_the_layout(spark):
+    frame = docs(spark)
+    key = lambda out: sorted(map(tuple, out.where("doc_id is not null").collect()))
+    assert key(shard(frame, n_shards=3)) == key(shard(frame.repartition(2, "n_chars"), n_shards=3))
+
+
 def test_fixed_capacity(spark):
     data = [(i, "x" * (i + 1)) for i in range(92)]
     out = shard(spark.createDataFrame(data, "doc_id long, text string"), capacity=200).collect()
@@ -125,3 +183,19 @@ def test_fixed_capacity(spark):
         sizes[r.shard] += r.size
     total = sum(sizes.values())
     assert max(sizes.values()) <= 200 and len(sizes) <= -(-total // 200) * 11 // 9 + 1
+
+
+def test_many_small_groups_at_a_fixed_capacity(spark):
+    data = [(i, f"{i:033d}") for i in range(20_000)]
+    out = shard(spark.createDataFrame(data, "doc_id long, text string"), capacity=4000, slot_rows=3000).collect()
+    check(data, out, 300)
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) <= 4000 and len(sizes) == -(-20_000 // (4000 // 41))
+
+
+def test_sizes_are_rounded_up_to_sixteen_digits(spark):
+    sizes = [1, 41, 65535, 65536, 65537, 131071, 10**9 + 7, 2**40 + 1]
+    out = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "bytes long").select(rounded(F.col("bytes"))).collect()]
+    assert out[:4] == sizes[:4] and all(s <= r < s * (1 + 2**-15) and bin(r).rstrip("0").count("") <= 19 for s, r in zip(sizes, out, strict=True))
