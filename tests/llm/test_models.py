@@ -125,10 +125,34 @@ def test_label_model_counts_correlated_voters_for_less():
     y = rng.random(4000) < 0.3
     vote = lambda a, b: np.where(y, rng.random(4000) < a, rng.random(4000) < b)
     copied = vote(0.7, 0.2)
-    votes = np.stack([vote(0.8, 0.1), vote(0.8, 0.1), vote(0.8, 0.1), copied, copied, copied], axis=1).astype(float)
-    q, weight = toxicity.label_model(votes, votes[:, :3].mean(axis=1))
-    assert weight[:3].min() > 0.9 and weight[3:].max() < 0.5
-    assert ((q > 0.5) == y).mean() > 0.88
+    votes = np.stack([vote(0.8, 0.05), vote(0.8, 0.05), vote(0.8, 0.05), copied, copied, copied], axis=1).astype(float)
+    votes = np.column_stack([votes, votes[:, :3].sum(axis=1) <= 1])  # a voter for label 0
+    noisy = np.where(rng.random(4000) < 0.15, ~y, y).astype(float)  # labels that are wrong in every seventh row
+    q, weight = toxicity.label_model(votes, noisy)
+    assert weight[:3].min() > 1.3 * weight[3:6].max()
+    assert ((q > 0.5) == y).mean() > 0.88 > 0.87 > (noisy == y).mean()
+
+
+def test_given_labels_do_not_vote():
+    """Two rows with equal votes have equal posteriors, whatever their given labels."""
+    rng = np.random.default_rng(1)
+    y = rng.random(2000) < 0.4
+    votes = np.stack([np.where(y, rng.random(2000) < 0.7, rng.random(2000) < 0.1) for _ in range(4)], axis=1).astype(float)
+    q, _ = toxicity.label_model(votes, y.astype(float))
+    for pattern in np.unique(votes, axis=0):
+        assert np.ptp(q[(votes == pattern).all(axis=1)]) < 1e-12
+
+
+def test_lexicons_are_the_telling_words_of_a_stem():
+    texts = [("karamba ok" if i % 4 == 0 else "ok karaok plain") + f" w{i % 7}" for i in range(400)]
+    label = np.array([int(i % 4 == 0) for i in range(400)])
+    places = [np.zeros((2, 0), dtype=np.int64)] * 400
+    for own, codes, families, _ in toxicity.features(texts):
+        places = [np.stack([codes[own == i], families[own == i]]) for i in range(400)]
+    lexicon = toxicity.mine_lexicons(label, places)
+    votes = toxicity.cast_votes([(int(y), p, [False] * (len(toxicity.THEMES) + len(toxicity.PATTERNS))) for y, p in zip(label, places, strict=True)], lexicon)
+    assert (lexicon >= 0).sum() == 2 and sorted(lexicon[lexicon >= 0].tolist()) in ([0, 1], [0, 0], [1, 1])
+    assert (votes[label == 1, :-1].sum(axis=1) == 1).all() and (votes[label == 0, -1] == 1).all()
 
 
 def test_alignment_by_hand():
