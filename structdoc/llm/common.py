@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/HEAVY_SHARE of the counted rows is heavy, so fewer than HEAVY_SHARE keys are.
 HEAVY_SHARE = 1000
+_PATHS: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in this process alone."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="structdoc-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -25,7 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what this process wrote to the shared folder; for when no result that reads it is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +72,6 @@ def keyed_join(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, sp
     light = dim.where(~is_heavy).select(*keys, F.lit(0).alias("_deal"), F.struct(*values).alias("_light"))
     out = rows.join(F.broadcast(heavy), keys, "left")
     out = out.withColumn("_deal", F.when(F.col("_heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(9973)).cast("int") + 1))
-    out = out.join(light.hint("shuffle_hash"), [*keys, "_deal"], "left")
+    out = out.join(light, [*keys, "_deal"], "left")
     found = F.coalesce("_heavy", "_light")
     return out.select(*rows.columns, *[found[c].alias(c) for c in values])

@@ -15,13 +15,13 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.min("parent").alias("least"), F.sum("up").alias("up"), F.sum("down").alias("down"))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Stars (child, parent) of edges(child, parent) with child > parent: every node but the smallest of its component, with the smallest.
 
     Each round replaces links by links to smaller nodes; rounds grow with the logarithm of a component's diameter.
     """
     edges = written(edges.where("child > parent").distinct(), "links")
-    for _ in range(max_rounds):
+    while True:
         nodes = written(_nodes(edges), "nodes")
         if nodes.where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             return edges
@@ -34,4 +34,3 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             F.array(F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")), F.struct("child", F.col("least").alias("parent")))
         )
         edges = written(small.select(F.inline(pairs)).where("child > parent").distinct(), "small-stars")
-    raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

@@ -8,6 +8,7 @@ benchmark takes a pass for each shard.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -52,8 +53,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+#: Letters of scripts that don't put spaces between words: each is a word.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])")
+
+
 def _lower(text: str | None) -> bytes:
-    return (text or "").lower().encode()
+    text = (text or "").lower()
+    return (text if text.isascii() else UNSPACED.sub(r" \1 ", text)).encode()
 
 
 class Index:
@@ -61,9 +67,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], seed_words: int, min_words: int):
         self.passages: list[tuple[int, np.ndarray]] = []
+        self.short: dict[int, dict[int, list[int]]] = {}  # items of few words: for each length the item ids by the hash of all words
         codes, places = [], []
         for item_id, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
             h = words(_lower(text), ALNUM)[2]
+            if 0 < len(h) < min_words:
+                self.short.setdefault(len(h), {}).setdefault(int(grams(h, len(h))[0]), []).append(item_id)
             cuts = list(range(0, len(h), PASSAGE))
             if len(cuts) > 1 and len(h) - cuts[-1] < min_words:
                 cuts.pop()
@@ -125,13 +134,32 @@ def _document_counts(batches: Iterator[pa.RecordBatch], shared, seed_words: int)
         yield pa.record_batch([pa.array(index.distinct[some].view(np.int64)), pa.array(count[some])], ["seed", "documents"])
 
 
+def short_matches(index: Index, texts: list[bytes], seed_words: int) -> list[tuple]:
+    """(text number, item, score, start, end) for items of few words: all of them stand in a row; for fewer than a seed the text has no others."""
+    out = []
+    for low, block, at in joined(texts) if index.short else ():
+        starts, _, h = words(block, ALNUM)
+        own = np.searchsorted(at, starts, side="right") - 1
+        base = np.searchsorted(starts, at)
+        for n, items in index.short.items():
+            g = grams(h, n)
+            fits = np.isin(g, np.array(list(items), dtype=np.uint64)) & (own[: len(g)] == own[len(own) - len(g) :])
+            if n < seed_words:
+                fits &= np.diff(base)[own[: len(g)]] == n
+            hits = np.flatnonzero(fits)
+            for i in hits[np.unique(np.stack([own[hits], g[hits].view(np.int64)]), axis=1, return_index=True)[1]].tolist() if len(hits) else ():
+                out += [(low + int(own[i]), item, 1.0, i - int(base[own[i]]), i - int(base[own[i]]) + n) for item in dict.fromkeys(items[int(g[i])])]
+    return out
+
+
 FOUND = "doc_id long, item_id long, score double, start_word int, end_word int"
 
 
 def matches(index: Index, texts: pa.Array, seed_words: int, threshold: float) -> list[tuple]:
     """(text number, item, score, start, end) for texts and items that align."""
-    out = []
-    for of, at, g, h, base, low in index.hits([_lower(t) for t in texts.to_pylist()], seed_words):
+    lowered = [_lower(t) for t in texts.to_pylist()]
+    out = short_matches(index, lowered, seed_words)
+    for of, at, g, h, base, low in index.hits(lowered, seed_words):
         a, b = np.searchsorted(index.codes, g, side="left"), np.searchsorted(index.codes, g, side="right")
         times = b - a
         pick = np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -197,8 +225,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, min
     docs(doc_id, text, ...), benchmark(item_id, text, ...). score is the best Smith-Waterman score over
     that of a full match of the item (of its best passage, if it is longer than PASSAGE words), 0 to 1. A seed is rare
     if in no more of the documents than rare_share, or than twice the item's median seed, so items that leak into very many
-    documents keep theirs. Null or empty texts match nothing, nor do items of fewer than min_words words,
-    which chance would match. Rows that repeat a doc_id, or have none, are reported each for itself; of items
+    documents keep theirs. Null or empty texts match nothing. Items of fewer than min_words words, which chance would match
+    in part, are found where all their words stand in a row, those of fewer than seed_words words where the document has no other words. Letters of
+    scripts without spaces are words of their own. Rows that repeat a doc_id, or have none, are reported each for itself; of items
     that repeat an item_id the best counts. Empty tables give an empty result; other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where("text is not null")

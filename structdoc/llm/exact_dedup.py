@@ -69,7 +69,17 @@ def _id(chunk: bytes, id_bytes: int) -> bytes:
     return hashlib.sha256(chunk).digest()[:id_bytes]
 
 
-def _emit_chunks(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int, only: frozenset | None = None) -> Iterator[pa.RecordBatch]:
+def _emit_places(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(text_sha256, pos, chunk_id, chunk) for every chunk of every text."""
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            text = normal(t)
+            pieces = chunks_of(text, average)
+            digest = [hashlib.sha256(text).hexdigest()] * len(pieces)
+            yield pa.record_batch([pa.array(digest), pa.array(range(len(pieces)), pa.int32()), pa.array([_id(c, id_bytes) for c in pieces], pa.binary()), pa.array(pieces, pa.binary())], ["text_sha256", "pos", "chunk_id", "chunk"])
+
+
+def _emit_chunks(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int) -> Iterator[pa.RecordBatch]:
     """(chunk_id, chunk), once for each distinct chunk of a batch."""
     for batch in batches:
         seen = {c for t in batch.column(0).to_pylist() for c in chunks_of(normal(t), average)}
@@ -77,14 +87,12 @@ def _emit_chunks(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int,
         yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(list(seen), pa.binary())], ["chunk_id", "chunk"])
 
 
-def _emit_recipes(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int, clashing: frozenset) -> Iterator[pa.RecordBatch]:
+def _emit_recipes(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         recipes, digests = [], []
         for t in batch.column(1).to_pylist():
             text = normal(t)
-            pieces = chunks_of(text, average)
-            ids = [_id(c, id_bytes) for c in pieces]
-            recipes.append([i if i not in clashing else b"=" + c for i, c in zip(ids, pieces, strict=True)] if clashing else ids)
+            recipes.append([_id(c, id_bytes) for c in chunks_of(text, average)])
             digests.append(hashlib.sha256(text).hexdigest())
         yield pa.record_batch([batch.column(0), pa.array(recipes, pa.list_(pa.binary())), pa.array(digests, pa.string())], ["doc_id", "recipe", "text_sha256"])
 
@@ -95,22 +103,31 @@ def clashing_ids(docs: DataFrame, average: int, id_bytes: int) -> DataFrame:
     return chunks.groupBy("chunk_id", "chunk").agg(F.lit(1).alias("one")).groupBy("chunk_id").agg(F.count("one").alias("n")).where("n > 1").select("chunk_id")
 
 
-def exact_dedup(docs: DataFrame, average_chunk: int = 2048, id_bytes: int = 32, most_clashes: int = 100_000) -> DataFrame:
+def with_bytes(recipes: DataFrame, docs: DataFrame, clashes: DataFrame, average: int, id_bytes: int) -> DataFrame:
+    """recipes with the bytes of a chunk, behind "=", in place of an identifier that clashes."""
+    places = docs.select("text").mapInArrow(partial(_emit_places, average=average, id_bytes=id_bytes), "text_sha256 string, pos int, chunk_id binary, chunk binary")
+    hit = places.join(clashes, "chunk_id", "left_semi").select("text_sha256", F.struct("pos", F.concat(F.lit(b"="), F.col("chunk")).alias("chunk")).alias("place"))
+    hit = hit.groupBy("text_sha256").agg(F.map_from_entries(F.collect_set("place")).alias("told"))
+    told = F.transform("recipe", lambda x, i: F.coalesce(F.try_element_at("told", i), x))
+    return recipes.join(hit, "text_sha256", "left").withColumn("recipe", F.when(F.col("told").isNull(), F.col("recipe")).otherwise(told)).select(*recipes.columns)
+
+
+def exact_dedup(docs: DataFrame, average_chunk: int = 2048, id_bytes: int = 32) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text, ...).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts
     the row with the largest doc_id stays. Rows that repeat a doc_id count each in group_size and
     share the decision. A null doc_id is smaller than any other: it stays only if its whole group
     has none. An empty table gives an empty result; other columns are ignored.
-    average_chunk must be a power of two. More than most_clashes identifiers that clash are an
-    error: the identifiers are then too short for the data.
+    average_chunk must be a power of two.
     """
     docs = docs.select("doc_id", "text")
-    clashes = [bytes(r[0]) for r in clashing_ids(docs, average_chunk, id_bytes).take(most_clashes + 1)]
-    if len(clashes) > most_clashes:
-        raise ValueError(f"more than {most_clashes} chunk identifiers clash; take more id_bytes")
-    read = partial(_emit_recipes, average=average_chunk, id_bytes=id_bytes, clashing=frozenset(clashes))
-    recipes = written(docs.mapInArrow(read, "doc_id long, recipe array<binary>, text_sha256 string"), "recipes")
+    clashes = written(clashing_ids(docs, average_chunk, id_bytes), "clashing-chunks")
+    read = partial(_emit_recipes, average=average_chunk, id_bytes=id_bytes)
+    recipes = docs.mapInArrow(read, "doc_id long, recipe array<binary>, text_sha256 string")
+    if not clashes.isEmpty():
+        recipes = with_bytes(recipes, docs, clashes, average_chunk, id_bytes)
+    recipes = written(recipes, "recipes")
     groups = written(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.count("*").alias("rows")).where("rows > 1"), "recipe-groups")
     out = keyed_join(recipes, groups, ["recipe"], "rows", F.coalesce("doc_id", F.lit(0)))
     alone = F.col("group_size").isNull()
@@ -126,7 +143,10 @@ def exact_dedup(docs: DataFrame, average_chunk: int = 2048, id_bytes: int = 32,
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that exact_dedup() keeps."""
-    own = "_structdoc_row"
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.xxhash64("doc_id", "text_sha256").alias(own)).distinct()
+    keys = ["_row0", "_row1"]
+    while set(keys) & set(docs.columns):
+        keys = [f"_{k}" for k in keys]
+    name = lambda digest: [F.xxhash64(F.lit(seed), "doc_id", digest).alias(k) for seed, k in zip((7, 77), keys, strict=True)]
+    gone = exact_dedup(docs).where(~F.col("kept")).select(*name(F.col("text_sha256"))).distinct()
     digest = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    return docs.withColumn(own, F.xxhash64("doc_id", digest)).join(gone.hint("shuffle_hash"), own, "left_anti").select(*docs.columns)
+    return docs.select("*", *name(digest)).join(gone, keys, "left_anti").select(*docs.columns)

@@ -1,5 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word shingles: prefixes give candidates, whole sets verify them.
+"""SimHash near-dedup at a given Jaccard similarity of word shingles: prefixes give buckets, fingerprints candidates, whole sets verify them.
 
+Fingerprints of similar sets differ in few of 64 bits, but in too many to deal them into selective buckets by their bits alone. So rows
+share a bucket by a shingle, and within buckets fingerprints are compared: by exclusive-or and bit counts, in tiles in the order of population counts,
+skipping tile pairs whose counts differ beyond the radius. The radius is so wide that a pair of the asked similarity lies beyond it once in ten million.
 The order of shingles is by how often a sample of the documents holds them, then by hash; any order gives
 the same result. Two sets of the asked similarity share a shingle of their prefixes: the first n - ceil(t n) + 1
 of n in that order. Documents with equal sets are one node. Each node of a shingle's bucket is first compared with the
@@ -19,12 +22,16 @@ from pyspark.sql import functions as F
 
 from structdoc.llm.common import keyed_join, written
 from structdoc.llm.components import components
+from structdoc.llm.simhash import BITS_AT_ONCE
 from structdoc.llm.tokens import grams, mix, words
 
 #: Documents in the sample that sets the order of shingles, and shingles whose counts are broadcast, at most.
 SAMPLE, COUNTED = 10_000, 200_000
 #: Bits of the filters that tell which shingles and documents are wanted: a fixed size, so they can be broadcast.
 FILTER_BITS = 1 << 27
+#: Bits in which fingerprints of candidates may differ. At a similarity of 0.8 a bit differs with a probability of at most 0.19.
+RADIUS = 28
+TILE = 64
 #: A bucket with more rows is dealt out as pairs of parts, a group each.
 MOST_ROWS = 256
 EPSILON = 1e-9
@@ -43,6 +50,14 @@ def signature(of: np.ndarray) -> int:
     return int(total.view(np.int64))
 
 
+def fingerprint(of: np.ndarray) -> int:
+    """64 bits, each set if it is in over half of the shingles' hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(of), BITS_AT_ONCE):
+        ones += np.unpackbits(of[at : at + BITS_AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(of), bitorder="little").view("<i8")[0])
+
+
 def prefix(of: np.ndarray, similarity: float, counted: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the order by sampled count and hash, so many that similar sets share one."""
     seen = np.zeros(len(of), dtype=np.int64)
@@ -63,7 +78,7 @@ def _emit_prefixes(batches: Iterator[pa.RecordBatch], n: int, similarity: float,
     for batch in batches:
         sets = [shingles(t.as_py(), n) for t in batch.column(1)]
         first = [prefix(s, similarity, counted, counts).view(np.int64) for s in sets]
-        yield pa.record_batch([batch.column(0), pa.array(map(signature, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sig", "n", "prefix"])
+        yield pa.record_batch([batch.column(0), pa.array(map(signature, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(fingerprint, sets), pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sig", "n", "fp", "prefix"])
 
 
 def _has(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -98,12 +113,12 @@ def _sift(batches: Iterator[pa.RecordBatch], at: int, shared, has: bool) -> Iter
 def _emit_places(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The places of prefixes whose shingle the filter has."""
     for batch in batches:
-        first, size = batch.column(2).flatten().to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
+        first, size = batch.column(3).flatten().to_numpy(), np.diff(batch.column(3).offsets.to_numpy())
         row = np.repeat(np.arange(len(size)), size)
         pos = np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
         found = np.flatnonzero(_has(shared.value, first))
         of = pa.array(row[found])
-        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(pos[found].astype(np.int32)), pa.array(first[found])], ["sig", "n", "pos", "shingle"])
+        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), pa.array(pos[found].astype(np.int32)), pa.array(first[found])], ["sig", "n", "fp", "pos", "shingle"])
 
 
 def _emit_sets(batches: Iterator[pa.RecordBatch], n: int, shared) -> Iterator[pa.RecordBatch]:
@@ -134,27 +149,42 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, simila
     """Links (child, parent) of the pairs (a, b) whose sets are similar; only their documents' sets move, and a hub b meets its partners in lists."""
     pairs = written(pairs, "candidates")
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = _filter(heads.join(sigs.hint("shuffle_hash"), "sig", "left_semi").select("least"))
+    wanted = _filter(heads.join(sigs, "sig", "left_semi").select("least"))
     sets = docs.mapInArrow(lambda b: _emit_sets(b, n, wanted), "sig long, set array<long>")
     sets = written(sets.groupBy("sig").agg(F.first("set").alias("set")), "sets")
     lists = pairs.groupBy("b", F.pmod(F.xxhash64("a"), F.lit(32)).alias("slot")).agg(F.collect_list("a").alias("list"))
-    lists = lists.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("set_b")).hint("shuffle_hash"), "b")
-    both = lists.select("b", "set_b", F.explode("list").alias("a")).join(sets.select(F.col("sig").alias("a"), F.col("set").alias("set_a")).hint("shuffle_hash"), "a")
+    lists = lists.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("set_b")), "b")
+    both = lists.select("b", "set_b", F.explode("list").alias("a")).join(sets.select(F.col("sig").alias("a"), F.col("set").alias("set_a")), "a")
     both = both.select("a", "b", F.size("set_a").alias("x"), F.size("set_b").alias("y"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
     near = both.where(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both")) - EPSILON)
     return near.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
 
 
+def near(fps: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places whose fingerprints, given in the order of their population counts, lie within the radius."""
+    left, right = [], []
+    for at in range(0, len(fps), TILE):
+        upto = min(at + TILE, len(fps))
+        end = int(np.searchsorted(ones, ones[upto - 1] + RADIUS, side="right"))  # beyond, population counts differ too much
+        i, j = np.nonzero(np.bitwise_count(fps[at:upto, None] ^ fps[None, at:end]) <= RADIUS)
+        left.append(at + i[i < j])
+        right.append(at + j[i < j])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
+
+
 def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group -> pairs (a, b) of one group that links don't join yet and that can be similar."""
     held = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        shingle, lo, hi, part, sig, n, pos, comp, hub = (t.column(i).to_numpy() for i in range(9))
+        shingle, lo, hi, part, sig, n, pos, comp, hub, fp = (t.column(i).to_numpy() for i in range(10))
+        fp = fp.view(np.uint64)
+        ones = np.bitwise_count(fp).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         for x, y in zip(starts.tolist(), [*starts.tolist(), len(sig)][1:], strict=True):
-            i, j = np.triu_indices(y - x, 1)
-            i, j = i + x, j + x
+            order = x + np.argsort(ones[x:y], kind="stable")
+            i, j = near(fp[order], ones[order])
+            i, j = order[i], order[j]
             ok = (comp[i] != comp[j]) & (sig[i] != hub[i]) & (sig[j] != hub[j]) & possible(similarity, n[i], pos[i], n[j], pos[j])
             if lo[x] != hi[x]:
                 ok &= part[i] != part[j]
@@ -181,14 +211,14 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 def _rest(shared: DataFrame, stars: DataFrame, similarity: float, most: int) -> DataFrame:
     """Pairs (a, b) of nodes in one bucket that no links join yet, but for those with the hub."""
-    named = shared.join(stars.withColumnRenamed("child", "sig").hint("shuffle_hash"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig")).drop("parent")
+    named = shared.join(stars.withColumnRenamed("child", "sig"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig")).drop("parent")
     named = written(named, "named-prefixes")
     several = named.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows"), F.count("*").alias("size")).where("least < most")
     several = written(several.select("shingle", "rows", "size"), "several")
     rows = keyed_join(named, several, ["shingle"], "rows", F.col("sig")).where("size is not null")
     parts = F.ceil(F.col("size") / most).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", "hub")
+    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", "hub", "fp")
     rows = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
     return rows.mapInArrow(partial(_compare, similarity=similarity), "a long, b long").distinct()
 
@@ -204,29 +234,29 @@ def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8,
     n = words_in_shingle
     named = docs.select("doc_id", "text").where("doc_id is not null")
     order = docs.sparkSession.sparkContext.broadcast(_order(named, n))
-    rows = written(named.mapInArrow(lambda b: _emit_prefixes(b, n, similarity, order), "doc_id long, sig long, n int, prefix array<long>"), "prefixes")
+    rows = written(named.mapInArrow(lambda b: _emit_prefixes(b, n, similarity, order), "doc_id long, sig long, n int, fp long, prefix array<long>"), "prefixes")
     heads = written(rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "heads")
     several = rows.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
     several = written(several.withColumn("holders", F.col("rows")), "shared-shingles")
     maybe = _filter(several.select("shingle"))
-    places = rows.select("sig", "n", "prefix").mapInArrow(lambda b: _emit_places(b, maybe), "sig long, n int, pos int, shingle long").distinct()
+    places = rows.select("sig", "n", "fp", "prefix").mapInArrow(lambda b: _emit_places(b, maybe), "sig long, n int, fp long, pos int, shingle long").distinct()
     shared = keyed_join(places, several, ["shingle"], "rows", F.col("sig")).where("holders is not null").drop("holders")
     shared = written(shared, "places")
-    hubs = shared.groupBy("shingle").agg(F.min(F.struct("sig", "n", "pos")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
-    hubs = written(hubs.select("shingle", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), "rows"), "hubs")
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct("sig", "n", "pos", "fp")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
+    hubs = written(hubs.select("shingle", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), F.col("hub.fp").alias("hub_fp"), "rows"), "hubs")
     shared = written(keyed_join(shared, hubs, ["shingle"], "rows", F.col("sig")).where("hub is not null"), "shared-places")
 
-    can = possible(similarity, F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"))
+    can = possible(similarity, F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= RADIUS)
     first = shared.where((F.col("sig") != F.col("hub")) & can).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     links = verified(first, named, heads, n, similarity)
     names = rows.groupBy("doc_id").agg(F.min("sig").alias("parent"), F.max("sig").alias("most")).where("parent < most").drop("most")
-    links = links.unionByName(rows.join(names.hint("shuffle_hash"), "doc_id").where("sig > parent").select(F.col("sig").alias("child"), "parent"))
+    links = links.unionByName(rows.join(names, "doc_id").where("sig > parent").select(F.col("sig").alias("child"), "parent"))
     stars = components(links)
-    links = written(verified(_rest(shared.drop("hub_n", "hub_pos"), stars, similarity, most), named, heads, n, similarity), "later-links")
+    links = written(verified(_rest(shared.drop("hub_n", "hub_pos", "hub_fp"), stars, similarity, most), named, heads, n, similarity), "later-links")
     if not links.isEmpty():
         stars = components(stars.unionByName(links))
 
-    heads = heads.join(stars.withColumnRenamed("child", "sig").hint("shuffle_hash"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig"))
+    heads = heads.join(stars.withColumnRenamed("child", "sig"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig"))
     heads = written(heads.select("sig", "comp", "least", "rows"), "named-heads")
     whole = written(heads.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")), "components")
     of = written(keyed_join(heads, whole, ["comp"], "sets", F.col("sig")).select("sig", "component_id", "rows"), "components-of-sets")
@@ -239,4 +269,4 @@ def without_similar(docs: DataFrame, words_in_shingle: int = 5, similarity: floa
     some, at = _filter(gone), docs.columns.index("doc_id")
     maybe = docs.mapInArrow(lambda b: _sift(b, at, some, True), docs.schema)  # only these move
     rest = docs.mapInArrow(lambda b: _sift(b, at, some, False), docs.schema)
-    return rest.unionByName(maybe.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns))
+    return rest.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))

@@ -218,7 +218,16 @@ def near_dedup(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3) -> D
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def without_near_copies(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, but one document for each component of near_dedup(): that of the smallest doc_id."""
+def without_near_copies(docs: DataFrame, words_in_shingle: int = 5, similarity: float | None = 0.8, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, but one document for each component: that of the smallest doc_id.
+
+    Components are those of documents whose fingerprints lie within a wide radius and whose sets of shingles
+    have the similarity (jaccard.similar()), or without a similarity those of near_dedup() at the radius.
+    Rows without doc_id stay.
+    """
+    from structdoc.llm.jaccard import without_similar
+
+    if similarity is not None:
+        return without_similar(docs, words_in_shingle, similarity)
     gone = near_dedup(docs, words_in_shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

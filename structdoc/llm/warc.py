@@ -26,11 +26,14 @@ from structdoc.llm.common import keyed_join, shared_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
+#: Compressed bytes that are decoded at a time.
+PIECE = 1 << 14
 #: Compressed bytes that are decoded to see whether a candidate is a record.
 HEAD = 1 << 12
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 FIELDS = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload")
 ARROW = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in FIELDS])
+DAMAGED = (None, "damaged", None, None, None, None, None)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -66,18 +69,24 @@ class Tail:
     """A file read in blocks from a position on, with as much looked ahead as asked."""
 
     def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.at, self.data, self.used = file, at, b"", 0
         self.size = file.size()
 
     def need(self, n: int) -> bytes:
-        while len(self.data) < n and self.at + len(self.data) < self.size:
-            self.file.seek(self.at + len(self.data))
-            self.data += self.file.read(BLOCK)
-        return self.data
+        """The next n bytes, fewer at the end of the file."""
+        while len(self.data) - self.used < n and self.at + len(self.data) - self.used < self.size:
+            self.file.seek(self.at + len(self.data) - self.used)
+            self.data, self.used = self.data[self.used :] + self.file.read(BLOCK), 0
+        return self.data[self.used : self.used + n]
 
     def skip(self, n: int) -> None:
-        self.need(n)
-        self.data, self.at = self.data[n:], self.at + n
+        self.used, self.at = self.used + len(self.need(n)), self.at + n
+
+    def find(self, mark: bytes) -> int:
+        """Where the mark stands in what is looked ahead, -1 if not there; at least len(mark) bytes unless the file ends."""
+        self.need(len(mark))
+        found = self.data.find(mark, self.used)
+        return found - self.used if found >= 0 else -1
 
 
 def is_record(head: bytes) -> bool:
@@ -90,29 +99,30 @@ def is_record(head: bytes) -> bool:
 def seek_record(tail: Tail, end: int) -> bool:
     """Moves to the next byte before end at which a record's member starts."""
     while tail.at < end:
-        found = tail.need(BLOCK).find(MAGIC)
+        found = tail.find(MAGIC)
         if found < 0:
-            if len(tail.data) < len(MAGIC):
+            ahead = len(tail.data) - tail.used
+            if ahead < len(MAGIC):
                 return False
-            tail.skip(len(tail.data) - len(MAGIC) + 1)
+            tail.skip(ahead - len(MAGIC) + 1)
             continue
         tail.skip(found)
         if tail.at >= end:
             return False
-        if is_record(tail.need(HEAD)[:HEAD]):
+        if is_record(tail.need(HEAD)):
             return True
         tail.skip(1)
     return False
 
 
 def members(file: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
-    """The decoded members that start in [start, end)."""
+    """The decoded members that start in [start, end); of a damaged one what could be decoded, cut so that it parses as damaged."""
     tail = Tail(file, start)
     while seek_record(tail, end):
         first, unpack, out = tail.at, zlib.decompressobj(31), []
         try:
             while not unpack.eof:
-                data = tail.need(1)
+                data = tail.need(PIECE)
                 if not data:
                     raise zlib.error("cut off")
                 out.append(unpack.decompress(data))
@@ -120,20 +130,25 @@ def members(file: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
                 if unpack.eof:
                     break
         except zlib.error:  # a damaged member: go on behind its magic
+            yield b"WARC/"
             tail = Tail(file, first + 1)
             continue
         yield b"".join(out)
 
 
 def parse_records(data: bytes) -> Iterator[tuple]:
-    """The records of a member as rows of SCHEMA."""
+    """The records of a member as rows of SCHEMA; a header without its end or with a length that is no number gives a row of the type ``damaged``, and ends the member."""
     at = 0
     while data.startswith(b"WARC/", at):
         cut = data.find(b"\r\n\r\n", at)
         if cut < 0:
+            yield DAMAGED
             return
         lines = data[at:cut].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if not re.fullmatch(r"\d*", head.get("content-length") or "", re.ASCII):
+            yield DAMAGED
+            return
         size = int(head.get("content-length") or 0)
         block = data[cut + 4 : cut + 4 + size]
         at = cut + 4 + size
@@ -167,7 +182,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         store, path = open_store(self.path)
         found = store.get_file_info(path)
-        files = [found] if found.is_file else [x for x in store.get_file_info(pafs.FileSelector(path)) if x.is_file and x.path.endswith(".warc.gz")]
+        files = [found] if found.is_file else [x for x in store.get_file_info(pafs.FileSelector(path)) if x.is_file and x.path.endswith((".warc.gz", ".warc"))]
+        if plain := [x.path for x in files if x.path.endswith(".warc")]:
+            raise ValueError(f"archives must have a gzip member for each record: {plain[:3]}")
         ranges = [ByteRange(x.path, at, min(at + self.split, x.size)) for x in sorted(files, key=lambda x: x.path) for at in range(0, x.size, self.split)]
         return ranges or [ByteRange("", 0, 0)]
 
@@ -267,7 +284,11 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, split_bytes: int = 16 << 20) -> DataFrame:
-    """The records of the archives at path: record_id, record_type, target_uri, refers_to, payload_digest, payload_bytes, payload."""
+    """The records of the archives at path: record_id, record_type, target_uri, refers_to, payload_digest, payload_bytes, payload.
+
+    A member that can't be decoded, or whose header is malformed, is a row with the type ``damaged`` and nulls. Archives
+    that aren't compressed are an error.
+    """
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("splitBytes", str(split_bytes)).option("payload", str(payload).lower()).load(path)
 

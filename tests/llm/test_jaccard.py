@@ -3,6 +3,7 @@ import re
 
 import pytest
 from structdoc.llm import jaccard as J
+from structdoc.llm import simhash as S
 from structdoc.llm.simhash import near_dedup
 
 from tests.llm.fixtures import docs, empty, rows, sentence
@@ -61,7 +62,7 @@ def test_all_near_copies_are_linked_and_no_others(spark, most):
 def test_awkward_rows(spark):
     expected, _ = brute_components(rows())
     assert {r.doc_id: r.component_id for r in J.similar(docs(spark)).collect()} == expected
-    kept = J.without_similar(docs(spark))
+    kept = S.without_near_copies(docs(spark))
     assert kept.columns == docs(spark).columns
     want = sorted((r for r in rows() if r[0] is None or expected[r[0]] == r[0]), key=repr)
     assert sorted(map(tuple, kept.collect()), key=repr) == want

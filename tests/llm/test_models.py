@@ -195,12 +195,14 @@ def test_leaks_are_found_and_clean_documents_left(spark, shard_words):
             body[40:40] = copy
             expected.add((i, i % 20))
         data.append((i, " ".join(body).upper() if i % 3 else " ".join(body)))
-    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(90, None), (91, ""), (92, "w1 w2")], "item_id long, text string")
-    frame = spark.createDataFrame(data + [(None, data[0][1]), (100, None), (101, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(90, None), (91, ""), (92, "w1 w2"), (93, "short: one; TWO three, four"), (94, "日本語の文")], "item_id long, text string")
+    odd = [(102, "W1 w2!"), (103, "w1 w2 w3"), (104, "before short one two three four behind"), (105, "short one two three five"), (106, "前の日本語の文と"), (107, "日本の語文")]
+    expected |= {(102, 92), (104, 93), (106, 94)}
+    frame = spark.createDataFrame(data + odd + [(None, data[0][1]), (100, None), (101, "")], "doc_id long, text string")
     got = D.contaminated(frame, benchmark, shard_words=shard_words).collect()
     assert {(r.doc_id, r.item_id) for r in got} == expected | {(None, 0)} and all(0.5 <= r.score <= 1 for r in got)
     clean = D.without_contaminated(frame, benchmark, shard_words=shard_words)
-    assert sorted(r.doc_id for r in clean.collect()) == [*range(40, 60), 100, 101]
+    assert sorted(r.doc_id for r in clean.collect()) == [*range(40, 60), 100, 101, 103, 105, 107]
 
 
 def test_decontamination_of_empty_tables(spark):

@@ -52,4 +52,16 @@ def test_false_magic_and_damage_are_passed_over():
     record = lambda i: W.encode_record(f"urn:page:{i}", "u", b"payload %d" % i, "D", None, "d")
     data = b"\x1f\x8b\x08junk" + gzip.compress(b"no record") + record(1) + b"padding" + record(2)[:-20] + record(3)
     rows = [r for m in W.members(pa.BufferReader(data), 0, len(data)) for r in W.parse_records(m)]
-    assert [r[0] for r in rows] == ["urn:page:1", "urn:page:3"]
+    assert [r[0] for r in rows] == ["urn:page:1", None, "urn:page:3"] and [r[1] for r in rows] == ["response", "damaged", "response"]
+
+
+def test_malformed_headers_are_rows(spark, tmp_path):
+    import pytest
+
+    good = W.encode_record("urn:page:1", "u", b"payload", "D", None, "d")
+    bad = gzip.compress(b"WARC/1.1\r\nContent-Length: many\r\n\r\nx") + gzip.compress(b"WARC/1.1\r\nno end of the header") + gzip.compress("WARC/1.1\r\nContent-Length: ２\r\n\r\n".encode())
+    (tmp_path / "a.warc.gz").write_bytes(good + bad + good)
+    assert sorted(r.record_type for r in W.read_warc(spark, str(tmp_path)).collect()) == ["damaged"] * 3 + ["response"] * 2
+    (tmp_path / "b.warc").write_bytes(b"")
+    with pytest.raises(Exception, match="gzip member"):
+        W.read_warc(spark, str(tmp_path)).collect()
