@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from structdoc.llm.common import shared_path
 from structdoc.llm.decontaminate import without_contaminated
 from structdoc.llm.exact_dedup import without_copies
-from structdoc.llm.jaccard import without_similar
 from structdoc.llm.langid import accepted
 from structdoc.llm.pieces import digest_pieces
+from structdoc.llm.simhash import without_near_copies
+
+#: Languages of the corpus, and the least score at which a document counts as one of them.
+LANGUAGES, LEAST_SCORE = ("de", "en", "es", "fr"), 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the classifier knows; texts without letters go."""
-    return accepted(docs)
+    """Keeps documents in one of the corpus's languages; texts without letters, in other languages or of an unclear one go."""
+    return accepted(docs, LANGUAGES, LEAST_SCORE)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +33,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles the one with the smallest doc_id."""
-    return without_similar(docs, words_in_shingle=5, similarity=0.8)
+    """Keeps of documents linked by near fingerprints and a similarity of 0.8 or more of their 5-word shingles the one with the smallest doc_id."""
+    return without_near_copies(docs, words_in_shingle=5, similarity=0.8)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
