@@ -71,6 +71,44 @@ def test_longest_prefix_in_a_compiled_map():
     assert found.longest(b"abc", 0) == (b"yz", 2) and found.longest(b"ac", 0) == (b"x", 1) and found.longest(b"c", 0) is None
 
 
+def field(number, value):
+    """A length-delimited field of a protobuf message."""
+    size, out = len(value), bytes([number << 3 | 2])
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return out + bytes([size]) + value
+
+
+@pytest.fixture(scope="module", params=[(1, 1, 1), (0, 0, 1), (1, 0, 1), (0, 1, 1)])
+def mapped(request, tmp_path_factory):
+    """The public model's pieces behind the library's own character map; dummy prefix, squeezed spaces and escapes as asked."""
+    spec = dict(P._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    rules = dict(P._fields(spec))
+    assert len(rules[2]) > 100_000
+    new = field(1, b"nmt_nfkc") + field(2, rules[2]) + bytes(x for n, v in zip((3, 4, 5), request.param, strict=True) for x in (n << 3, v))
+    body = b"".join(field(n, v) for n, v in P._fields(open(MODEL, "rb").read()) if n != 3 and isinstance(v, bytes))
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(body + field(3, new))
+    return str(path)
+
+
+MAPPED = ["ＡＢ  ½ é", "  ① two\u3000three  ", "ﬁne ㌔ ﷺ", "a\u200bb\u00adc", "\t\n x \r\n", "가각 각", "Å ≠ ①②③", "™ and ℡ ", "e\u0301\u0301 o\u0308", "▁ ▁a", "", "   "]
+
+
+@pytest.mark.parametrize("text", MAPPED + ODD)
+def test_offsets_through_a_character_map_are_those_of_the_library(mapped, text):
+    codec = P.codec(mapped)
+    assert codec.map.units
+    ids, edges = codec.encode(text)
+    proto = codec.library.encode(text, return_type="proto")
+    found = proto["pieces"] if isinstance(proto, dict) else proto.pieces
+    get = lambda p, k: p[k] if isinstance(p, dict) else getattr(p, k)
+    data = text.encode()
+    assert ids == [get(p, "id") for p in found]
+    assert [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)] == [(get(p, "begin"), get(p, "end")) for p in found]
+    assert all(0 <= a <= b <= len(data) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
 def test_tree_finds_the_tightest_bin():
     rng, tree, held = random.Random(1), CapacityTree(), []
     for i in range(2000):
