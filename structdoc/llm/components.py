@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structdoc.llm.common import keyed_join, written
+from structdoc.llm.common import dropped, keyed_join, written
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         nodes = written(_nodes(edges), "nodes")
         if nodes.where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            dropped(nodes)
             return edges
         ups = nodes.where("down > 0").select(F.col("node").alias("parent"), "least", F.col("down").alias("rows"))
         large = keyed_join(edges, ups, ["parent"], "rows", F.col("child"))
@@ -33,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = F.when(F.col("parent") == F.col("least"), F.array(F.struct("child", F.col("least").alias("parent")))).otherwise(
             F.array(F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")), F.struct("child", F.col("least").alias("parent")))
         )
-        edges = written(small.select(F.inline(pairs)).where("child > parent").distinct(), "small-stars")
+        old, edges = edges, written(small.select(F.inline(pairs)).where("child > parent").distinct(), "small-stars")
+        dropped(old, nodes, large, downs)

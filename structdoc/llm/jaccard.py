@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structdoc.llm.common import keyed_join, written
+from structdoc.llm.common import dropped, keyed_join, written
 from structdoc.llm.components import components
 from structdoc.llm.simhash import BITS_AT_ONCE
 from structdoc.llm.tokens import grams, mix, words
@@ -28,9 +28,11 @@ from structdoc.llm.tokens import grams, mix, words
 #: Documents in the sample that sets the order of shingles, and shingles whose counts are broadcast, at most.
 SAMPLE, COUNTED = 10_000, 200_000
 #: Bits of the filters that tell which shingles and documents are wanted: a fixed size, so they can be broadcast.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 24
 #: Bits in which fingerprints of candidates may differ. At a similarity of 0.8 a bit differs with a probability of at most 0.19.
 RADIUS = 28
+#: Pairs are looked at once more by fingerprints of WIDE x 64 bits before their sets move; unrelated ones then hardly ever stay.
+WIDE, WIDE_RADIUS = 4, 84
 TILE = 64
 #: A bucket with more rows is dealt out as pairs of parts, a group each.
 MOST_ROWS = 256
@@ -50,12 +52,17 @@ def signature(of: np.ndarray) -> int:
     return int(total.view(np.int64))
 
 
-def fingerprint(of: np.ndarray) -> int:
-    """64 bits, each set if it is in over half of the shingles' hashes."""
-    ones = np.zeros(64, dtype=np.int64)
+def fingerprints(of: np.ndarray) -> list[int]:
+    """WIDE x 64 bits, each set if it is in over half of the shingles' hashes, which are mixed anew for each 64."""
+    ones = np.zeros(64 * WIDE, dtype=np.int64)
     for at in range(0, len(of), BITS_AT_ONCE):
-        ones += np.unpackbits(of[at : at + BITS_AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(of), bitorder="little").view("<i8")[0])
+        h, parts = of[at : at + BITS_AT_ONCE], []
+        for _ in range(WIDE):
+            parts.append(h)
+            h = mix(h + np.uint64(1))
+        bits = np.unpackbits(np.stack(parts, axis=1).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(of), bitorder="little").view("<i8").tolist()
 
 
 def prefix(of: np.ndarray, similarity: float, counted: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -78,7 +85,8 @@ def _emit_prefixes(batches: Iterator[pa.RecordBatch], n: int, similarity: float,
     for batch in batches:
         sets = [shingles(t.as_py(), n) for t in batch.column(1)]
         first = [prefix(s, similarity, counted, counts).view(np.int64) for s in sets]
-        yield pa.record_batch([batch.column(0), pa.array(map(signature, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(fingerprint, sets), pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sig", "n", "fp", "prefix"])
+        wide = list(map(fingerprints, sets))
+        yield pa.record_batch([batch.column(0), pa.array(map(signature, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([w[0] for w in wide], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], ["doc_id", "sig", "n", "fp", "prefix", "wide"])
 
 
 def _has(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -146,8 +154,10 @@ def possible(similarity: float, n, pos, other_n, other_pos):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Links (child, parent) of the pairs (a, b) whose sets are similar; only their documents' sets move, and a hub b meets its partners in lists."""
-    pairs = written(pairs, "candidates")
+    """Links (child, parent) of the pairs (a, b) whose sets are similar; sets move only of pairs whose wide fingerprints are near, and a hub b meets its partners in lists."""
+    wide = lambda end: heads.select(F.col("sig").alias(end), F.col("wide").alias(f"wide_{end}"))
+    apart = sum((F.bit_count(F.col("wide_a")[i].bitwiseXOR(F.col("wide_b")[i])) for i in range(WIDE)), F.lit(0))
+    pairs = written(pairs.join(wide("b"), "b").join(wide("a"), "a").where(apart <= WIDE_RADIUS).select("a", "b"), "candidates")
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     wanted = _filter(heads.join(sigs, "sig", "left_semi").select("least"))
     sets = docs.mapInArrow(lambda b: _emit_sets(b, n, wanted), "sig long, set array<long>")
@@ -157,7 +167,10 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, simila
     both = lists.select("b", "set_b", F.explode("list").alias("a")).join(sets.select(F.col("sig").alias("a"), F.col("set").alias("set_a")), "a")
     both = both.select("a", "b", F.size("set_a").alias("x"), F.size("set_b").alias("y"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
     near = both.where(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both")) - EPSILON)
-    return near.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
+    links = written(near.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")), "similar-pairs")
+    dropped(pairs, sets)
+    wanted.unpersist()
+    return links
 
 
 def near(fps: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,25 +247,26 @@ def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8,
     n = words_in_shingle
     named = docs.select("doc_id", "text").where("doc_id is not null")
     order = docs.sparkSession.sparkContext.broadcast(_order(named, n))
-    rows = written(named.mapInArrow(lambda b: _emit_prefixes(b, n, similarity, order), "doc_id long, sig long, n int, fp long, prefix array<long>"), "prefixes")
-    heads = written(rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "heads")
+    rows = written(named.mapInArrow(lambda b: _emit_prefixes(b, n, similarity, order), "doc_id long, sig long, n int, fp long, prefix array<long>, wide array<long>"), "prefixes")
+    heads = written(rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("wide").alias("wide")), "heads")
     several = rows.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
-    several = written(several.withColumn("holders", F.col("rows")), "shared-shingles")
-    maybe = _filter(several.select("shingle"))
+    maybe = _filter(several.select("shingle"))  # lets some others through, which then have a hub and no partner
     places = rows.select("sig", "n", "fp", "prefix").mapInArrow(lambda b: _emit_places(b, maybe), "sig long, n int, fp long, pos int, shingle long").distinct()
-    shared = keyed_join(places, several, ["shingle"], "rows", F.col("sig")).where("holders is not null").drop("holders")
-    shared = written(shared, "places")
-    hubs = shared.groupBy("shingle").agg(F.min(F.struct("sig", "n", "pos", "fp")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
+    places = written(places, "places")
+    maybe.unpersist()
+    hubs = places.groupBy("shingle").agg(F.min(F.struct("sig", "n", "pos", "fp")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
     hubs = written(hubs.select("shingle", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), F.col("hub.fp").alias("hub_fp"), "rows"), "hubs")
-    shared = written(keyed_join(shared, hubs, ["shingle"], "rows", F.col("sig")).where("hub is not null"), "shared-places")
+    shared = written(keyed_join(places, hubs, ["shingle"], "rows", F.col("sig")).where("hub is not null"), "shared-places")
 
     can = possible(similarity, F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= RADIUS)
+    dropped(places, hubs)
     first = shared.where((F.col("sig") != F.col("hub")) & can).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     links = verified(first, named, heads, n, similarity)
     names = rows.groupBy("doc_id").agg(F.min("sig").alias("parent"), F.max("sig").alias("most")).where("parent < most").drop("most")
     links = links.unionByName(rows.join(names, "doc_id").where("sig > parent").select(F.col("sig").alias("child"), "parent"))
     stars = components(links)
-    links = written(verified(_rest(shared.drop("hub_n", "hub_pos", "hub_fp"), stars, similarity, most), named, heads, n, similarity), "later-links")
+    links = verified(_rest(shared.drop("hub_n", "hub_pos", "hub_fp"), stars, similarity, most), named, heads, n, similarity)
+    dropped(shared)
     if not links.isEmpty():
         stars = components(stars.unionByName(links))
 

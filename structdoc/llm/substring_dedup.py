@@ -306,6 +306,7 @@ def substring_dedup(docs: DataFrame, window_words: int = 50, seed_words: int = S
     marked = keyed_join(found, written(firsts, "first-contexts"), ["seed", "context"], "rows", F.struct("row0", "start"))
     all_bits = F.expr("shiftleft(1L, windows) - 1L")
     marked = marked.withColumn("bits", F.when(F.col("doc_id") > F.col("first_doc"), all_bits).otherwise(F.coalesce("bits", F.lit(0))))
+    # what is hashed is smaller than the texts that it meets, which would be sorted else: a document has fewer runs than words
     hits = marked.where("bits <> 0").groupBy(*row).agg(F.collect_list(F.struct("start", "bits")).alias("hits"))
-    ready = docs.join(hits, row, "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("hits")).alias("hits"))
+    ready = docs.join(hits.hint("shuffle_hash"), row, "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("hits")).alias("hits"))
     return ready.mapInArrow(partial(_remove, n=n), "doc_id long, n_words long, n_removed long, kept_text string")
