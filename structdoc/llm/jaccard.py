@@ -80,9 +80,16 @@ def _emit_sample(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
             yield pa.record_batch([pa.array(shingles(t.as_py(), n).view(np.int64))], ["shingle"])
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that fewer sets are held at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _emit_prefixes(batches: Iterator[pa.RecordBatch], n: int, similarity: float, shared) -> Iterator[pa.RecordBatch]:
     counted, counts = shared.value
-    for batch in batches:
+    for batch in _sliced(batches):
         sets = [shingles(t.as_py(), n) for t in batch.column(1)]
         first = [prefix(s, similarity, counted, counts).view(np.int64) for s in sets]
         wide = list(map(fingerprints, sets))
@@ -130,7 +137,7 @@ def _emit_places(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
 
 
 def _emit_sets(batches: Iterator[pa.RecordBatch], n: int, shared) -> Iterator[pa.RecordBatch]:
-    for batch in _sift(batches, 0, shared, True):
+    for batch in _sliced(_sift(batches, 0, shared, True)):
         sets = [shingles(t.as_py(), n) for t in batch.column(1)]
         yield pa.record_batch([pa.array(map(signature, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sig", "set"])
 
@@ -159,7 +166,7 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, simila
     apart = sum((F.bit_count(F.col("wide_a")[i].bitwiseXOR(F.col("wide_b")[i])) for i in range(WIDE)), F.lit(0))
     pairs = written(pairs.join(wide("b"), "b").join(wide("a"), "a").where(apart <= WIDE_RADIUS).select("a", "b"), "candidates")
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = _filter(heads.join(sigs, "sig", "left_semi").select("least"))
+    wanted = _filter(heads.join(sigs.hint("shuffle_hash"), "sig", "left_semi").select("least"))
     sets = docs.mapInArrow(lambda b: _emit_sets(b, n, wanted), "sig long, set array<long>")
     sets = written(sets.groupBy("sig").agg(F.first("set").alias("set")), "sets")
     lists = pairs.groupBy("b", F.pmod(F.xxhash64("a"), F.lit(32)).alias("slot")).agg(F.collect_list("a").alias("list"))
@@ -173,15 +180,17 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, simila
     return links
 
 
-def near(fps: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of places whose fingerprints, given in the order of their population counts, lie within the radius."""
-    left, right = [], []
+def near(wide: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places whose fingerprints, given in the order of the first's population counts, lie within the radius, first by 64 bits, then by all."""
+    left, right, fps = [], [], wide[:, 0]
     for at in range(0, len(fps), TILE):
         upto = min(at + TILE, len(fps))
         end = int(np.searchsorted(ones, ones[upto - 1] + RADIUS, side="right"))  # beyond, population counts differ too much
         i, j = np.nonzero(np.bitwise_count(fps[at:upto, None] ^ fps[None, at:end]) <= RADIUS)
-        left.append(at + i[i < j])
-        right.append(at + j[i < j])
+        i, j = at + i[i < j], at + j[i < j]
+        both = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
+        left.append(i[both])
+        right.append(j[both])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
 
 
@@ -190,13 +199,13 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
     held = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        shingle, lo, hi, part, sig, n, pos, comp, hub, fp = (t.column(i).to_numpy() for i in range(10))
-        fp = fp.view(np.uint64)
-        ones = np.bitwise_count(fp).astype(np.int64)
+        shingle, lo, hi, part, sig, n, pos, comp, hub = (t.column(i).to_numpy() for i in range(9))
+        wide = np.stack([t.column(9 + i).to_numpy() for i in range(WIDE)], axis=1).view(np.uint64)
+        ones = np.bitwise_count(wide[:, 0]).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         for x, y in zip(starts.tolist(), [*starts.tolist(), len(sig)][1:], strict=True):
             order = x + np.argsort(ones[x:y], kind="stable")
-            i, j = near(fp[order], ones[order])
+            i, j = near(wide[order], ones[order])
             i, j = order[i], order[j]
             ok = (comp[i] != comp[j]) & (sig[i] != hub[i]) & (sig[j] != hub[j]) & possible(similarity, n[i], pos[i], n[j], pos[j])
             if lo[x] != hi[x]:
@@ -222,16 +231,16 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield from pairs(held.combine_chunks())
 
 
-def _rest(shared: DataFrame, stars: DataFrame, similarity: float, most: int) -> DataFrame:
+def _rest(shared: DataFrame, heads: DataFrame, stars: DataFrame, similarity: float, most: int) -> DataFrame:
     """Pairs (a, b) of nodes in one bucket that no links join yet, but for those with the hub."""
-    named = shared.join(stars.withColumnRenamed("child", "sig"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig")).drop("parent")
+    named = shared.join(stars.withColumnRenamed("child", "sig").hint("shuffle_hash"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig")).drop("parent")
     named = written(named, "named-prefixes")
     several = named.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows"), F.count("*").alias("size")).where("least < most")
     several = written(several.select("shingle", "rows", "size"), "several")
-    rows = keyed_join(named, several, ["shingle"], "rows", F.col("sig")).where("size is not null")
+    rows = keyed_join(named, several, ["shingle"], "rows", F.col("sig")).where("size is not null").join(heads.select("sig", "wide").hint("shuffle_hash"), "sig")
     parts = F.ceil(F.col("size") / most).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", "hub", "fp")
+    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", "hub", *(F.col("wide")[i].alias(f"wide{i}") for i in range(WIDE)))
     rows = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
     return rows.mapInArrow(partial(_compare, similarity=similarity), "a long, b long").distinct()
 
@@ -263,14 +272,14 @@ def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8,
     first = shared.where((F.col("sig") != F.col("hub")) & can).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     links = verified(first, named, heads, n, similarity)
     names = rows.groupBy("doc_id").agg(F.min("sig").alias("parent"), F.max("sig").alias("most")).where("parent < most").drop("most")
-    links = links.unionByName(rows.join(names, "doc_id").where("sig > parent").select(F.col("sig").alias("child"), "parent"))
+    links = links.unionByName(rows.join(names.hint("shuffle_hash"), "doc_id").where("sig > parent").select(F.col("sig").alias("child"), "parent"))
     stars = components(links)
-    links = verified(_rest(shared.drop("hub_n", "hub_pos", "hub_fp"), stars, similarity, most), named, heads, n, similarity)
+    links = verified(_rest(shared.drop("fp", "hub_n", "hub_pos", "hub_fp"), heads, stars, similarity, most), named, heads, n, similarity)
     dropped(shared)
     if not links.isEmpty():
         stars = components(stars.unionByName(links))
 
-    heads = heads.join(stars.withColumnRenamed("child", "sig"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig"))
+    heads = heads.join(stars.withColumnRenamed("child", "sig").hint("shuffle_hash"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig"))
     heads = written(heads.select("sig", "comp", "least", "rows"), "named-heads")
     whole = written(heads.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")), "components")
     of = written(keyed_join(heads, whole, ["comp"], "sets", F.col("sig")).select("sig", "component_id", "rows"), "components-of-sets")
@@ -283,4 +292,4 @@ def without_similar(docs: DataFrame, words_in_shingle: int = 5, similarity: floa
     some, at = _filter(gone), docs.columns.index("doc_id")
     maybe = docs.mapInArrow(lambda b: _sift(b, at, some, True), docs.schema)  # only these move
     rest = docs.mapInArrow(lambda b: _sift(b, at, some, False), docs.schema)
-    return rest.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return rest.unionByName(maybe.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns))

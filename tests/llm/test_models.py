@@ -205,6 +205,28 @@ def test_leaks_are_found_and_clean_documents_left(spark, shard_words):
     assert sorted(r.doc_id for r in clean.collect()) == [*range(40, 60), 100, 101, 103, 105, 107]
 
 
+def test_edited_copies_equal_exhaustive_alignment(spark):
+    """Every document against every item by plain alignment: what is found is right, and at least nine tenths of it are found."""
+    rng = random.Random(16)
+    words = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    items = [(i, words(rng.randint(12, 30))) for i in range(12)]
+    data = []
+    for i in range(60):
+        copy = list(items[i % 12][1])
+        for _ in range(rng.randint(0, len(copy) // 3)):  # words replaced, dropped and put in
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[], ["new"], [copy[at], "more"]])
+        data.append((i, words(rng.randint(0, 30)) + copy + words(rng.randint(0, 30))))
+    number = {w: i for i, w in enumerate(sorted({w for _, t in items + data for w in t}))}
+    code = lambda t: [number[w] for w in t]
+    best = {(i, j): brute_score(code(item), code(text)) / (2 * len(item)) for i, text in data for j, item in items}
+    expected = {k for k, score in best.items() if score >= 0.5}
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(frame(data, "doc_id"), frame(items, "item_id")).collect()}
+    assert set(got) <= expected and len(expected) > 50 and len(got) >= 0.9 * len(expected)
+    assert all(abs(score - best[k]) < 1e-9 for k, score in got.items() if best[k] > 0.7)
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs(spark), none).collect() == [] and D.contaminated(empty(spark), none).collect() == []
