@@ -58,10 +58,11 @@ def media_inventory(live: DataFrame, captured: DataFrame, bodies: DataFrame, rea
 
 def nearest_anchors(items: DataFrame, anchors: DataFrame) -> DataFrame:
     """The texts nearest above and below each item. items: page_id, item_id, top, bottom; anchors: page_id, a_top, a_bottom, text."""
-    met = items.join(anchors, "page_id", "left")
-    above, below = F.col("a_bottom") <= F.col("top") + SLACK, F.col("a_top") >= F.col("bottom") - SLACK
-    pick = lambda ok, distance: F.min_by(F.when(ok, F.col("text")), F.when(ok, F.struct(distance.alias("d"), F.col("a_top"))))
-    return met.groupBy("page_id", "item_id").agg(F.coalesce(pick(above, F.col("top") - F.col("a_bottom")), F.lit("")).alias("before_text"), F.coalesce(pick(below, F.col("a_top") - F.col("bottom")), F.lit("")).alias("after_text"))
+    asked = items.select("page_id", "item_id", (F.col("top") + SLACK).alias("upto"), (F.col("bottom") - SLACK).alias("since"))
+    texts = anchors.select("page_id", "a_top", "a_bottom", F.col("text").alias("before_text"), F.col("text").alias("after_text"))
+    above = lookup.asof(asked, texts, ["page_id"], "upto", "a_bottom", ["before_text"], tie="a_top")
+    met = lookup.asof(above, texts, ["page_id"], "since", "a_top", ["after_text"], before=False)
+    return met.select("page_id", "item_id", F.coalesce("before_text", F.lit("")).alias("before_text"), F.coalesce("after_text", F.lit("")).alias("after_text"))
 
 
 def title_candidates(nodes: DataFrame, root: DataFrame) -> DataFrame:
@@ -114,8 +115,7 @@ def nearest_time(times: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def link_cards(nodes: DataFrame) -> DataFrame:
     """Cards that link elsewhere: address, title, description and host, from the distinct texts inside them."""
-    cards = nodes.where(F.lower(F.coalesce(dom.attr("data-testid"), F.lit(""))).rlike(r"card\.?wrapper")).select("page_id", F.col("node_id").alias("card_id"), F.col("pre").alias("c_pre"), F.col("post").alias("c_post"))
-    met = nodes.join(cards, "page_id").where("pre >= c_pre AND post <= c_post")
+    met = dom.owner_of(nodes, F.lower(F.coalesce(dom.attr("data-testid"), F.lit(""))).rlike(r"card\.?wrapper"), "card_id").where("card_id IS NOT NULL")
     href = F.min_by(F.when(F.col("tag") == "a", dom.attr("href")), F.when((F.col("tag") == "a") & dom.attr("href").isNotNull(), F.col("pre")))
     label = F.when(F.col("tag").isin("span", "p", "label"), T.normalize_text(F.col("text")))
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.length(label).between(2, 300), F.struct("pre", label.alias("text"))))), lambda x: x["text"])
@@ -128,17 +128,17 @@ def link_cards(nodes: DataFrame) -> DataFrame:
 
 def polls(nodes: DataFrame) -> DataFrame:
     """Polls with their distinct options in order."""
-    boxes = nodes.where(F.coalesce(dom.attr("data-testid"), F.lit("")).rlike("(?i)poll")).select("page_id", F.col("node_id").alias("poll_id"), F.col("pre").alias("p_pre"), F.col("post").alias("p_post"))
+    boxes = dom.owner_of(nodes, F.coalesce(dom.attr("data-testid"), F.lit("")).rlike("(?i)poll"), "poll_id")
     option = (dom.attr("role") == "radio") | F.coalesce(dom.attr("data-testid"), F.lit("")).rlike("choice|option")
-    met = nodes.where(F.coalesce(option, F.lit(False))).join(boxes, "page_id").where("pre > p_pre AND post < p_post AND text IS NOT NULL")
+    met = boxes.where(F.coalesce(option, F.lit(False))).where("poll_id <> node_id AND text IS NOT NULL")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pre", T.normalize_text(F.col("text")).alias("text")))), lambda x: x["text"])
     return met.groupBy("page_id", "poll_id").agg(F.filter(F.array_distinct(texts), lambda t: t != "").alias("options"))
 
 
 def authors_in(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Handle and name of each page: the first @handle in a name block, else the address's first step. pages: page_id, url."""
-    blocks = nodes.where(F.coalesce(dom.attr("data-testid"), F.lit("")) == "User-Name").select("page_id", F.col("pre").alias("b_pre"), F.col("post").alias("b_post"))
-    met = nodes.where("text IS NOT NULL").join(blocks, "page_id").where("pre > b_pre AND post < b_post").withColumn("t", T.collapse(F.col("text")))
+    named = dom.owner_of(nodes, F.coalesce(dom.attr("data-testid"), F.lit("")) == "User-Name", "block_id")
+    met = named.where("block_id <> node_id AND text IS NOT NULL").withColumn("t", T.collapse(F.col("text")))
     handle = F.regexp_extract("t", r"^@([A-Za-z0-9_]{1,15})$", 1)
     first = met.groupBy("page_id").agg(
         F.min_by(F.when(handle != "", handle), F.when(handle != "", F.col("pre"))).alias("seen"),

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from structdoc.plans import literals, pages, relations
-from structdoc.plans.sql import ORACLES
+from structdoc.plans import built, built_sql, literals, pages, relations, sql
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -13,8 +12,11 @@ _NAMES = {
     relations: "event_merge_runs event_next_gap conv_fallback_zip count_by count_by_unknown top1_candidate topk_images first_wins_index last_wins_index media_lookup_left "
     "post_lookup_left fallback_coalesce_join semi_labeled anti_labeled asof_before_after interval_containment union_keep_distinct running_cap weighted_avg min_nearest "
     "separator_collapse props_json_extract request_correlate session_quiescence rolling_upsert session_windows",
-    literals: "payload_walk article_candidates articles article_blocks render_html completeness diagnostics_json media_index formula_index draft_lists draft_inline markdown_blocks "
-    "line_kind_classify pseudo_list_groups formula_normalize code_languages sanitize_html clean_titles",
+    built: "payload_walk payload_json_strings article_candidates media_index formula_index post_index articles article_blocks draft_lists completeness render_html page_documents page_document_blocks "
+    "page_linked_articles page_post_roots page_embedded_posts page_media page_cards page_polls page_authors page_titles page_tables page_kinds block_copies block_code_runs block_pseudo_lists markdown_blocks "
+    "formula_normalize code_languages clean_titles text_typography sanitize_html media_urls images_largest anchors_nearest media_inventory cover_detect time_nearest blocks_in_order captured_near capture_responses stopped_sessions",
+    literals: "diagnostics_json draft_inline line_kind_classify pseudo_list_groups",
 }
 
 QUERIES = {name: getattr(module, name) for module, names in _NAMES.items() for name in names.split()}
+ORACLES = {**sql.ORACLES, **built_sql.ORACLES}

@@ -105,7 +105,7 @@ def interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events within an hour after a signup of the same user."""
     events = _events(spark, sf_dir)
     spans = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup_id"), F.col("at").alias("start"), (F.col("at") + 3_600_000_000).alias("end"))
-    return lookup.within(events.select("user_id", "event_id", "at"), spans, ["user_id"], "at", "start", "end").where("event_id <> signup_id").select("signup_id", "event_id")
+    return lookup.within(events.select("user_id", "event_id", "at"), spans, ["user_id"], "at", "start", "end", bucket=3_600_000_000).where("event_id <> signup_id").select("signup_id", "event_id")
 
 
 def union_keep_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,11 +144,13 @@ def props_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each view with the user's purchases within a day after it."""
-    events = _events(spark, sf_dir)
-    views = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("at").alias("start"), (F.col("at") + 86_400_000_000).alias("end"))
-    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), "at")
-    return lookup.within(bought, views, ["user_id"], "at", "start", "end").select("view_id", "purchase_id")
+    """Each view with the user's purchases within a day after it, by the operator that streams of requests use too."""
+    from structdoc.streaming.capture import correlate
+
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    views = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("received_at"))
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("finished_at"))
+    return correlate(views, bought, "user_id", "1 day").select("view_id", "purchase_id")
 
 
 def session_quiescence(spark: SparkSession, sf_dir: str) -> DataFrame:

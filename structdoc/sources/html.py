@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-NODES = "page_id long, node_id int, parent_id int, pre int, post int, depth int, tag string, attrs map<string,string>, text string, text_chars int, html string"
+NODES = "page_id long, node_id int, parent_id int, pre int, post int, depth int, tag string, attrs map<string,string>, text string, text_chars int, html string, table_id int"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag that ends open elements of these kinds, up to one of the second kinds.
 CLOSES = {
@@ -23,41 +24,77 @@ TEXTUAL = frozenset("title h1 h2 h3 h4 h5 h6 p li blockquote pre code td th a fi
 INLINE = {"b": "strong", "strong": "strong", "i": "em", "em": "em", "u": "u", "s": "s", "del": "s", "strike": "s", "sup": "sup", "sub": "sub", "code": "code", "a": "a"}
 
 
+#: Schemes that a link in text may have; others, such as scripts, lose their target.
+SCHEME = re.compile(r"\s*([A-Za-z][A-Za-z0-9+.-]*):")
+LINKS = frozenset(("http", "https", "mailto"))
+
+
+def escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#39;")
+
+
+def opening(tag: str, attrs: dict[str, str]) -> str:
+    """The tag of inline markup that stands for an element."""
+    if INLINE[tag] == "a":
+        target = attrs.get("href", "").strip()
+        scheme = SCHEME.match(target)
+        return f'<a href="{escaped(target)}">' if target and (not scheme or scheme[1].lower() in LINKS) else "<a>"
+    return f"<{INLINE[tag]}>"
+
+
 class _Reader(HTMLParser):
-    """Collects elements as [parent, pre, post, depth, tag, attrs, text parts, inline parts, length]."""
+    """Collects elements as [parent, pre, post, depth, tag, attrs, text start, text end, markup start, markup end, characters, table, nested lists].
+
+    Text and inline markup of a page are written once; an element keeps where in them its own begin and end.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.open: list[int] = []
-        self.clock = 0
+        self.tables: list[int] = []
+        self.clock = self.unseen = 0
+        self.text, self.markup = [], []
+        self.sizes = [0, 0, 0]  # of text, markup, and characters of text without line breaks
+
+    def _write(self, text: str, markup: str, chars: int = 0) -> None:
+        self.text.append(text)
+        self.markup.append(markup)
+        for i, n in enumerate((len(text), len(markup), chars)):
+            self.sizes[i] += n
 
     def _close(self) -> None:
         node = self.nodes[self.open.pop()]
-        node[2] = self.clock
+        tag = node[4]
+        node[2], node[7], node[9], node[10] = self.clock, self.sizes[0], self.sizes[1], self.sizes[2] - node[10]
         self.clock += 1
-        mark = INLINE.get(node[4])
-        if mark:
-            for i in self.open:
-                if self.nodes[i][4] in TEXTUAL:
-                    self.nodes[i][7].append(f"</{mark}>")
+        self.unseen -= tag in UNSEEN
+        if tag in ("ul", "ol"):  # the item that holds a list doesn't have its text
+            item = next((self.nodes[i] for i in reversed(self.open) if self.nodes[i][4] == "li"), None)
+            if item:
+                item[12].append((node[6], node[7], node[8], node[9]))
+        if tag == "table":
+            self.tables.pop()
+        if tag in INLINE:
+            self._write("", f"</{INLINE[tag]}>")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "button"})
         if tag in CLOSES:
             self._end(*CLOSES[tag])
-        self.nodes.append([self.open[-1] if self.open else None, self.clock, None, len(self.open), tag, {k: v or "" for k, v in attrs}, [], [], 0])
+        told = {k: v or "" for k, v in attrs}
+        if tag in INLINE:
+            self._write("", opening(tag, told))
+        elif tag == "br":
+            self._write("\n", "<br>")
+        parent, table = self.open[-1] if self.open else None, self.tables[-1] if self.tables else None
+        self.nodes.append([parent, self.clock, None, len(self.open), tag, told, self.sizes[0], None, self.sizes[1], None, self.sizes[2], table, []])
         self.clock += 1
-        mark = INLINE.get(tag)
-        for i in self.open:
-            if self.nodes[i][4] in TEXTUAL:
-                if mark:
-                    self.nodes[i][7].append(f"<{mark}>")
-                elif tag == "br":
-                    self.nodes[i][6].append("\n")
-                    self.nodes[i][7].append("<br>")
         self.open.append(len(self.nodes) - 1)
+        self.unseen += tag in UNSEEN
+        if tag == "table":
+            self.tables.append(len(self.nodes) - 1)
         if tag in VOID:
             self._close()
 
@@ -77,23 +114,14 @@ class _Reader(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if any(self.nodes[i][4] == tag for i in self.open):
+        if any(self.nodes[i][4] == tag for i in reversed(self.open)):
             while self.nodes[self.open[-1]][4] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data: str) -> None:
-        if not self.open or any(self.nodes[i][4] in UNSEEN for i in self.open):
-            return
-        escaped = None
-        for i in self.open:
-            node = self.nodes[i]
-            node[8] += len(data)
-            if node[4] in TEXTUAL:
-                if escaped is None:
-                    escaped = data.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#39;")
-                node[6].append(data)
-                node[7].append(escaped)
+        if self.open and not self.unseen:
+            self._write(data, escaped(data), len(data))
 
     def finish(self) -> list[list]:
         self.close()
@@ -105,14 +133,19 @@ class _Reader(HTMLParser):
 def read_html(page_id: int, html: str | None) -> list[tuple]:
     reader = _Reader()
     reader.feed(html or "")
+    nodes, text, markup = reader.finish(), "".join(reader.text), "".join(reader.markup)
+    whole = lambda of, start, end, holes: "".join(of[a:b] for a, b in zip([start, *(e for _, e in holes)], [*(s for s, _ in holes), end], strict=True))
     return [
-        (page_id, i, parent, pre, post, depth, tag, list(attrs.items()), "".join(text) if tag in TEXTUAL else None, chars, "".join(marks) if tag in TEXTUAL else None)
-        for i, (parent, pre, post, depth, tag, attrs, text, marks, chars) in enumerate(reader.finish())
-    ]
+        (
+            page_id, i, parent, pre, post, depth, tag, list(attrs.items()), whole(text, a, b, [h[:2] for h in holes]) if tag in TEXTUAL else None, chars,
+            whole(markup, c, d, [h[2:] for h in holes]) if tag in TEXTUAL else None, table,
+        )
+        for i, (parent, pre, post, depth, tag, attrs, a, b, c, d, chars, table, holes) in enumerate(nodes)
+    ]
 
 
 _ARROW = pa.schema(
-    [("page_id", pa.int64()), *((n, pa.int32()) for n in ("node_id", "parent_id", "pre", "post", "depth")), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("text_chars", pa.int32()), ("html", pa.string())]
+    [("page_id", pa.int64()), *((n, pa.int32()) for n in ("node_id", "parent_id", "pre", "post", "depth")), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("text_chars", pa.int32()), ("html", pa.string()), ("table_id", pa.int32())]
 )
 
 
@@ -126,5 +159,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """The elements of pages(page_id, html): a contains b when a.pre < b.pre and a.post > b.post, both of one page."""
+    """The elements of pages(page_id, html): a contains b when a.pre < b.pre and a.post > b.post, both of one page.
+
+    pre and post are ticks of one clock, so the elements in a stand between a.pre and a.post in the order of pre. Textual
+    elements have their text, and inline markup with link targets. table_id is the innermost table around an element. A null page
+    has no elements; rows that repeat a page_id give elements that can't be told apart.
+    """
     return pages.select("page_id", "html").mapInArrow(_nodes, NODES)

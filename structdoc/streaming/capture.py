@@ -22,10 +22,19 @@ def correlate(received: DataFrame, finished: DataFrame, key: str, within: str, r
     return a.join(b, met).drop("_key")
 
 
-def quiet_sessions(df: DataFrame, keys: list[str], at: str, quiet: str) -> DataFrame:
-    """Sessions that end after a quiet period: keys, start, end, n. Works on streams with a watermark and on tables."""
-    out = df.groupBy(*keys, F.session_window(at, quiet).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def quiet_sessions(df: DataFrame, keys: list[str], at: str, quiet: str, longest: str | None = None) -> DataFrame:
+    """Sessions that end after a quiet period: keys, start, end, n, and with a longest time whether it stopped them. Works on streams with a watermark and on tables.
+
+    A session that goes on past the longest time ends there; n counts its events up to then.
+    """
+    w = F.session_window(at, quiet).alias("w")
+    if longest is None:
+        out = df.groupBy(*keys, w).agg(F.count(F.lit(1)).alias("n"))
+        return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    out = df.groupBy(*keys, w).agg(F.collect_list(F.col(at)).alias("_times"))
+    stop = F.col("w.start") + F.expr(f"INTERVAL {longest}")
+    kept = F.size(F.filter("_times", lambda t: t <= stop)).cast("long")
+    return out.select(*keys, F.col("w.start").alias("start"), F.least(F.col("w.end"), stop).alias("end"), kept.alias("n"), (F.col("w.end") > stop).alias("stopped"))
 
 
 STATE = "value double, seq long, seen long"

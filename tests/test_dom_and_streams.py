@@ -44,7 +44,7 @@ def test_fallbacks_and_nearest(spark):
 
 
 def stream(spark, tmp_path, df, name):
-    df.write.parquet(str(tmp_path / name))
+    df.coalesce(1).write.parquet(str(tmp_path / name))  # files come by their times, so several could come out of order
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
 
 
