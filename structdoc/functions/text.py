@@ -1,4 +1,7 @@
-"""Text functions as Column expressions: normalising, comparing, escaping, titles, file names."""
+"""Text functions as Column expressions: normalising, comparing, escaping, titles, file names.
+
+A null text gives null, false from a test, or empty text from the functions that normalise, escape, strip tags or decode. Every function takes texts of any length.
+"""
 
 from __future__ import annotations
 

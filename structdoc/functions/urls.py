@@ -1,4 +1,7 @@
-"""URL functions as Column expressions: hosts, page kinds, media addresses, allow-lists."""
+"""URL functions as Column expressions: hosts, page kinds, media addresses, allow-lists.
+
+A null or malformed URL has no host and protocol, is allowed nowhere, and gives null or empty text.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Blocks from HTML elements: classification, suppression by containment, extraction in document order."""
+"""Blocks from HTML elements: classification, suppression by containment, extraction in document order.
+
+Elements are those of sources.html.html_nodes. Null attributes match no rule, null texts count as empty; document order has no ties
+within a page, but elements of pages that repeat a page_id can't be told apart. Empty tables give empty results. Windows hold one page in one task.
+"""
 
 from __future__ import annotations
 

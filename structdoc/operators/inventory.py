@@ -1,6 +1,7 @@
 """Media, titles, covers, cards and polls of pages, as filters, scores and nearest matches.
 
-Positions (top, bottom) come from a browser and may be null; rules by position then don't apply.
+Positions (top, bottom) come from a browser and may be null; rules by position then don't apply. Of equal scores the least sequence, or place, wins;
+null addresses are no media; rows that repeat count once where the best is kept. Empty tables give empty results.
 """
 
 from __future__ import annotations
