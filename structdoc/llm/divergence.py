@@ -151,17 +151,16 @@ def _distances(group: pd.DataFrame) -> pd.DataFrame:
     table[posts.source.map(own).to_numpy(dtype=np.int64), codes] = posts.p.to_numpy(dtype=np.int64)
     one, two = int(group.one.iloc[0]), int(group.two.iloc[0])
     left, right = np.flatnonzero(names.tile == one), np.flatnonzero(names.tile == two)
-    out = []
+    sources, items, parts = [], [], []
     for i in left.tolist():
         for low in range(0, len(right), 32):  # a bounded stretch of the differences at a time
             js = right[low : low + 32]
             js = js[js > i] if one == two else js
-            if len(js):
-                out.append(pd.DataFrame({"source": names.source[i], "item": names.source[js].to_numpy(), "part": np.abs(table[js] - table[i]).sum(axis=1), "terms": len(terms)}))
-    columns = ["source", "item", "part", "terms"]
-    found = pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
-    found.insert(0, "lang", group.lang.iloc[0])
-    return found.astype({"part": np.int64, "terms": np.int64})
+            parts += np.abs(table[js] - table[i]).sum(axis=1).tolist()
+            items += names.source[js].tolist()
+            sources += [names.source[i]] * len(js)
+    found = pd.DataFrame({"lang": group.lang.iloc[0], "source": pd.Series(sources, dtype=object), "item": pd.Series(items, dtype=object), "part": np.array(parts, dtype=np.int64)})
+    return found.assign(terms=len(terms))
 
 
 def _pairs(postings: DataFrame, groups: DataFrame, block_terms: int, tile: int) -> DataFrame:
