@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from structdoc.plans import built, built_sql, literals, pages, relations, sql
+from structdoc.plans import built, built_sql, capture, literals, pages, relations, sql
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -18,5 +18,5 @@ _NAMES = {
     literals: "diagnostics_json draft_inline line_kind_classify pseudo_list_groups",
 }
 
-QUERIES = {name: getattr(module, name) for module, names in _NAMES.items() for name in names.split()}
-ORACLES = {**sql.ORACLES, **built_sql.ORACLES}
+QUERIES = {name: getattr(module, name) for module, names in _NAMES.items() for name in names.split()} | capture.QUERIES
+ORACLES = {**sql.ORACLES, **built_sql.ORACLES, **capture.ORACLES}
