@@ -2,11 +2,12 @@
 
 Fingerprints of similar sets differ in few of 64 bits, but in too many to deal them into selective buckets by their bits alone. So rows
 share a bucket by a shingle, and within buckets fingerprints are compared: by exclusive-or and bit counts, in tiles in the order of population counts,
-skipping tile pairs whose counts differ beyond the radius. The radius is so wide that a pair of the asked similarity lies beyond it once in ten million.
+skipping tile pairs whose counts differ beyond the radius. A pair of similarity 0.8 lies beyond the radii with a chance of at most 6e-12; they can be switched off.
 The order of shingles is by how often a sample of the documents holds them, then by hash; any order gives
 the same result. Two sets of the asked similarity share a shingle of their prefixes: the first n - ceil(t n) + 1
 of n in that order. Documents with equal sets are one node. Each node of a shingle's bucket is first compared with the
-bucket's hub; then only nodes of one bucket that links don't join yet are compared, so that a large
+bucket's hub, the node with the fewest rarer shingles of its own: what a group of edited copies was made of has none. Then only nodes of one bucket
+that links don't join yet are compared, those outside the bucket's largest component with each other and with it, so that a large
 group of near copies takes about as many comparisons as it has rows, and no pair is lost.
 """
 
@@ -29,10 +30,11 @@ from structdoc.llm.tokens import grams, mix, words
 SAMPLE, COUNTED = 10_000, 200_000
 #: Bits of the filters that tell which shingles and documents are wanted: a fixed size, so they can be broadcast.
 FILTER_BITS = 1 << 24
-#: Bits in which fingerprints of candidates may differ. At a similarity of 0.8 a bit differs with a probability of at most 0.19.
-RADIUS = 28
-#: Pairs are looked at once more by fingerprints of WIDE x 64 bits before their sets move; unrelated ones then hardly ever stay.
-WIDE, WIDE_RADIUS = 4, 84
+#: Bits in which fingerprints of candidates may differ. At a similarity of 0.8 a bit differs with a probability of at most 0.1875 (4 of 5 shingles in
+#: common), so that the binomial tail beyond 36 of 64 is 4.7e-12.
+RADIUS = 36
+#: Pairs are looked at once more by fingerprints of WIDE x 64 bits before their sets move; unrelated ones then hardly ever stay. The tail beyond 96 of 256 is 6.7e-13.
+WIDE, WIDE_RADIUS = 4, 96
 TILE = 64
 #: A bucket with more rows is dealt out as pairs of parts, a group each.
 MOST_ROWS = 256
@@ -160,13 +162,13 @@ def possible(similarity: float, n, pos, other_n, other_pos):
     return (left >= need * (n + other_n) - EPSILON) & (right >= need * (n + other_n) - EPSILON)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, similarity: float, radius: int) -> DataFrame:
     """Links (child, parent) of the pairs (a, b) whose sets are similar; sets move only of pairs whose wide fingerprints are near, and a hub b meets its partners in lists."""
     wide = lambda end: heads.select(F.col("sig").alias(end), F.col("wide").alias(f"wide_{end}"))
     apart = sum((F.bit_count(F.col("wide_a")[i].bitwiseXOR(F.col("wide_b")[i])) for i in range(WIDE)), F.lit(0))
-    pairs = written(pairs.join(wide("b"), "b").join(wide("a"), "a").where(apart <= WIDE_RADIUS).select("a", "b"), "candidates")
+    pairs = written(pairs.join(wide("b"), "b").join(wide("a"), "a").where(apart <= radius).select("a", "b"), "candidates")
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = _filter(heads.join(sigs.hint("shuffle_hash"), "sig", "left_semi").select("least"))
+    wanted = _filter(heads.join(sigs, "sig", "left_semi").select("least"))
     sets = docs.mapInArrow(lambda b: _emit_sets(b, n, wanted), "sig long, set array<long>")
     sets = written(sets.groupBy("sig").agg(F.first("set").alias("set")), "sets")
     lists = pairs.groupBy("b", F.pmod(F.xxhash64("a"), F.lit(32)).alias("slot")).agg(F.collect_list("a").alias("list"))
@@ -180,34 +182,34 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, simila
     return links
 
 
-def near(wide: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near(wide: np.ndarray, ones: np.ndarray, radius: int = RADIUS, wide_radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of places whose fingerprints, given in the order of the first's population counts, lie within the radius, first by 64 bits, then by all."""
     left, right, fps = [], [], wide[:, 0]
     for at in range(0, len(fps), TILE):
         upto = min(at + TILE, len(fps))
-        end = int(np.searchsorted(ones, ones[upto - 1] + RADIUS, side="right"))  # beyond, population counts differ too much
-        i, j = np.nonzero(np.bitwise_count(fps[at:upto, None] ^ fps[None, at:end]) <= RADIUS)
+        end = int(np.searchsorted(ones, ones[upto - 1] + radius, side="right"))  # beyond, population counts differ too much
+        i, j = np.nonzero(np.bitwise_count(fps[at:upto, None] ^ fps[None, at:end]) <= radius)
         i, j = at + i[i < j], at + j[i < j]
-        both = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
+        both = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_radius
         left.append(i[both])
         right.append(j[both])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
 
 
-def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], similarity: float, radii: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group -> pairs (a, b) of one group that links don't join yet and that can be similar."""
     held = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        shingle, lo, hi, part, sig, n, pos, comp, hub = (t.column(i).to_numpy() for i in range(9))
-        wide = np.stack([t.column(9 + i).to_numpy() for i in range(WIDE)], axis=1).view(np.uint64)
+        shingle, lo, hi, part, sig, n, pos, comp = (t.column(i).to_numpy() for i in range(8))
+        wide = np.stack([t.column(8 + i).to_numpy() for i in range(WIDE)], axis=1).view(np.uint64)
         ones = np.bitwise_count(wide[:, 0]).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         for x, y in zip(starts.tolist(), [*starts.tolist(), len(sig)][1:], strict=True):
             order = x + np.argsort(ones[x:y], kind="stable")
-            i, j = near(wide[order], ones[order])
+            i, j = near(wide[order], ones[order], *radii)
             i, j = order[i], order[j]
-            ok = (comp[i] != comp[j]) & (sig[i] != hub[i]) & (sig[j] != hub[j]) & possible(similarity, n[i], pos[i], n[j], pos[j])
+            ok = (comp[i] != comp[j]) & possible(similarity, n[i], pos[i], n[j], pos[j])
             if lo[x] != hi[x]:
                 ok &= part[i] != part[j]
             if ok.any():
@@ -231,29 +233,39 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield from pairs(held.combine_chunks())
 
 
-def _rest(shared: DataFrame, heads: DataFrame, stars: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Pairs (a, b) of nodes in one bucket that no links join yet, but for those with the hub."""
-    named = shared.join(stars.withColumnRenamed("child", "sig").hint("shuffle_hash"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig")).drop("parent")
+def _rest(shared: DataFrame, heads: DataFrame, stars: DataFrame, similarity: float, most: int, radii: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes in one bucket that no links join yet, but for those with the hub.
+
+    A bucket's largest component is dealt out in parts of about most rows, its other, loose rows likewise; a group is a part of loose rows
+    with another one or with a part of the component. So few loose rows are copied once for each part, and the component's rows hardly at all.
+    """
+    named = shared.where("sig <> hub").join(stars.withColumnRenamed("child", "sig"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig")).drop("parent")
     named = written(named, "named-prefixes")
-    several = named.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows"), F.count("*").alias("size")).where("least < most")
-    several = written(several.select("shingle", "rows", "size"), "several")
-    rows = keyed_join(named, several, ["shingle"], "rows", F.col("sig")).where("size is not null").join(heads.select("sig", "wide").hint("shuffle_hash"), "sig")
-    parts = F.ceil(F.col("size") / most).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", "hub", *(F.col("wide")[i].alias(f"wide{i}") for i in range(WIDE)))
+    each = named.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
+    several = each.groupBy("shingle").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("rows"), F.count("*").alias("comps")).where("comps > 1")
+    several = written(several.select("shingle", "rows", F.col("main.comp").alias("main"), F.col("main.c").alias("joined"), (F.col("rows") - F.col("main.c")).alias("loose")), "several")
+    rows = keyed_join(named, several, ["shingle"], "rows", F.col("sig")).where("main is not null").join(heads.select("sig", "wide"), "sig")
+    loose_parts, joined_parts = (F.ceil(F.col(c) / most).cast("int") for c in ("loose", "joined"))
+    is_loose, all_loose = F.col("comp") != F.col("main"), F.sequence(F.lit(0), loose_parts - 1)
+    own = F.pmod(F.xxhash64("sig"), F.when(is_loose, loose_parts).otherwise(joined_parts)).cast("int")
+    rows = rows.withColumn("part", F.when(is_loose, own).otherwise(loose_parts + own))
+    rows = rows.withColumn("other", F.explode(F.when(is_loose, F.sequence(F.lit(0), loose_parts + joined_parts - 1)).otherwise(all_loose)))
+    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", *(F.col("wide")[i].alias(f"wide{i}") for i in range(WIDE)))
     rows = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
-    return rows.mapInArrow(partial(_compare, similarity=similarity), "a long, b long").distinct()
+    return rows.mapInArrow(partial(_compare, similarity=similarity, radii=radii), "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, most: int = MOST_ROWS) -> DataFrame:
+def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8, most: int = MOST_ROWS, by_fingerprints: bool = True) -> DataFrame:
     """doc_id, component_id for every doc_id of docs(doc_id, text, ...), once for each distinct text of it.
 
     Documents are linked when the sets of their word shingles have the Jaccard similarity or more (hashes of 64 bits
     stand for shingles); component_id is the smallest doc_id that links reach. Null texts count as empty; texts without
     words are alike, and texts of fewer words than a shingle are alike when equal. Rows without doc_id are left out.
-    Rows that repeat a doc_id are nodes of that one name. An empty table gives an empty result.
+    Rows that repeat a doc_id are nodes of that one name. An empty table gives an empty result. Fingerprints spare nearly all comparisons of
+    sets; without by_fingerprints all that share a bucket are compared, so that no pair is lost by chance.
     """
     n = words_in_shingle
+    radius, wide_radius = radii = (RADIUS, WIDE_RADIUS) if by_fingerprints else (64, 64 * WIDE)
     named = docs.select("doc_id", "text").where("doc_id is not null")
     order = docs.sparkSession.sparkContext.broadcast(_order(named, n))
     rows = written(named.mapInArrow(lambda b: _emit_prefixes(b, n, similarity, order), "doc_id long, sig long, n int, fp long, prefix array<long>, wide array<long>"), "prefixes")
@@ -263,23 +275,23 @@ def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8,
     places = rows.select("sig", "n", "fp", "prefix").mapInArrow(lambda b: _emit_places(b, maybe), "sig long, n int, fp long, pos int, shingle long").distinct()
     places = written(places, "places")
     maybe.unpersist()
-    hubs = places.groupBy("shingle").agg(F.min(F.struct("sig", "n", "pos", "fp")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
+    hubs = places.groupBy("shingle").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("place"), "sig", "n", "pos", "fp")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
     hubs = written(hubs.select("shingle", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), F.col("hub.fp").alias("hub_fp"), "rows"), "hubs")
     shared = written(keyed_join(places, hubs, ["shingle"], "rows", F.col("sig")).where("hub is not null"), "shared-places")
 
-    can = possible(similarity, F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= RADIUS)
+    can = possible(similarity, F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= radius)
     dropped(places, hubs)
     first = shared.where((F.col("sig") != F.col("hub")) & can).select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
-    links = verified(first, named, heads, n, similarity)
+    links = verified(first, named, heads, n, similarity, wide_radius)
     names = rows.groupBy("doc_id").agg(F.min("sig").alias("parent"), F.max("sig").alias("most")).where("parent < most").drop("most")
-    links = links.unionByName(rows.join(names.hint("shuffle_hash"), "doc_id").where("sig > parent").select(F.col("sig").alias("child"), "parent"))
+    links = links.unionByName(rows.join(names, "doc_id").where("sig > parent").select(F.col("sig").alias("child"), "parent"))
     stars = components(links)
-    links = verified(_rest(shared.drop("fp", "hub_n", "hub_pos", "hub_fp"), heads, stars, similarity, most), named, heads, n, similarity)
+    links = verified(_rest(shared.drop("fp", "hub_n", "hub_pos", "hub_fp"), heads, stars, similarity, most, radii), named, heads, n, similarity, wide_radius)
     dropped(shared)
     if not links.isEmpty():
         stars = components(stars.unionByName(links))
 
-    heads = heads.join(stars.withColumnRenamed("child", "sig").hint("shuffle_hash"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig"))
+    heads = heads.join(stars.withColumnRenamed("child", "sig"), "sig", "left").withColumn("comp", F.coalesce("parent", "sig"))
     heads = written(heads.select("sig", "comp", "least", "rows"), "named-heads")
     whole = written(heads.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")), "components")
     of = written(keyed_join(heads, whole, ["comp"], "sets", F.col("sig")).select("sig", "component_id", "rows"), "components-of-sets")
@@ -292,4 +304,4 @@ def without_similar(docs: DataFrame, words_in_shingle: int = 5, similarity: floa
     some, at = _filter(gone), docs.columns.index("doc_id")
     maybe = docs.mapInArrow(lambda b: _sift(b, at, some, True), docs.schema)  # only these move
     rest = docs.mapInArrow(lambda b: _sift(b, at, some, False), docs.schema)
-    return rest.unionByName(maybe.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns))
+    return rest.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
