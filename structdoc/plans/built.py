@@ -18,6 +18,7 @@ from structdoc.sources.html import html_nodes
 from structdoc.sources.payloads import candidate_responses, json_objects, json_strings
 
 RANGES = "array<struct<offset:int,length:int,key:string>>"
+STYLES = "array<struct<offset:int,length:int,style:string>>"
 
 
 def _quoted(c: Column) -> Column:
@@ -49,9 +50,15 @@ def captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("xx")).alias("lang"), F.coalesce("source", F.lit("s")).alias("source"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     i = F.col("doc_id")
     none = F.array().cast(RANGES)
-    block = lambda key, kind, line, depth, ranges=none: F.struct(key.alias("key"), kind.alias("type"), line.alias("text"), depth.cast("int").alias("depth"), ranges.alias("entity_ranges"))
+    plain = F.array().cast(STYLES)
+
+    def block(key: Column, kind: Column, line: Column, depth: Column, ranges: Column = none, styles: Column = plain) -> Column:
+        return F.struct(key.alias("key"), kind.alias("type"), line.alias("text"), depth.cast("int").alias("depth"), ranges.alias("entity_ranges"), styles.alias("inline_style_ranges"))
+
+    styles = F.from_json(F.lit('[{"offset":0,"length":3,"style":"Bold"},{"offset":2,"length":3,"style":"ITALIC"},{"offset":4,"length":-1,"style":"CODE"}]'), STYLES)
+    link = F.from_json(F.lit('[{"offset":3,"length":4,"key":"3"}]'), RANGES)
     kind = lambda n: F.when(n == 0, "header-one").when(n % 7 == 3, "blockquote").when((n % 7).isin(4, 5), "ordered-list-item").otherwise("unstyled")
-    of_lines = F.transform("lines", lambda x, n: block(F.concat(F.lit("b"), n.cast("string")), kind(n), x, F.when(n % 7 == 5, 1).otherwise(0)))
+    of_lines = F.transform("lines", lambda x, n: block(F.concat(F.lit("b"), n.cast("string")), kind(n), x, F.when(n % 7 == 5, 1).otherwise(0), F.when(n % 7 == 6, link).otherwise(none), F.when(n % 7 == 2, styles).when(n % 7 == 6, styles).otherwise(plain)))
     atomic = [block(F.lit(f"e{k}"), F.lit("atomic"), F.lit(" "), F.lit(0), F.array(F.struct(F.lit(0).alias("offset"), F.lit(1).alias("length"), F.lit(str(k)).alias("key"))).cast(RANGES)) for k in range(4)]
     tail = F.when(i % 5 == 0, F.array(block(F.lit("t"), F.lit("unstyled"), F.lit("The following code:"), F.lit(0)))).otherwise(F.slice(F.array(atomic[0]), 1, 0))
     blocks = F.to_json(F.concat(of_lines, F.array(*atomic), tail))

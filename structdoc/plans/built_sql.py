@@ -15,6 +15,16 @@ def esc3(c: str) -> str:
     return lit(c, *_FIVE[:3])
 
 
+def styled(c: str, escape) -> str:
+    """A line under the styles of captures: bold over the first three letters, italic over three from the third on; every seventh line, from the sixth, has a link over four from the fourth on, too."""
+    segment = lambda a, n, pre, post: f"CASE WHEN length({c}) > {a} THEN '{pre}' || {escape(f'substr({c}, {a + 1}, {n})')} || '{post}' ELSE '' END"
+    bold, both, em = ("<strong>", "</strong>"), ("<em><strong>", "</strong></em>"), ("<em>", "</em>")
+    a = f"""<a href="https://www.site.example/a?d=' || i || '">"""
+    plain = " || ".join([segment(0, 2, *bold), segment(2, 1, *both), segment(3, 2, *em), segment(5, 10**9, "", "")])
+    linked = " || ".join([segment(0, 2, *bold), segment(2, 1, *both), segment(3, 2, a + em[0], em[1] + "</a>"), segment(5, 2, a, "</a>"), segment(7, 10**9, "", "")])
+    return f"CASE pos % 7 WHEN 2 THEN {plain} WHEN 6 THEN {linked} ELSE {escape(c)} END"
+
+
 DOCS = "SELECT doc_id AS i, coalesce(lang, 'xx') AS lang, coalesce(source, 's') AS source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents"
 #: The lines of documents with their places and the kinds of block that these give.
 LINES = f"""SELECT i, lang, source, len(lines) AS n, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM ({DOCS})"""
@@ -27,7 +37,7 @@ BLOCKS = f"""
     WITH l AS (SELECT *, {KIND} AS kind FROM ({LINES}) WHERE i % 11 <> 0),
     items AS (SELECT i, pos - (CASE WHEN pos % 7 = 5 THEN 1 ELSE 0 END) AS pos, string_agg({esc('line')}, '|' ORDER BY pos) AS content FROM l WHERE kind = 'list' GROUP BY ALL),
     parts AS (
-        SELECT i, pos, kind AS type, CASE WHEN kind = 'heading' THEN 2 END AS level, {esc('line')} AS content, NULL AS src, NULL AS url, NULL AS resolution_source FROM l WHERE kind <> 'list' AND {strip('line')} <> ''
+        SELECT i, pos, kind AS type, CASE WHEN kind = 'heading' THEN 2 END AS level, {styled('line', esc)} AS content, NULL AS src, NULL AS url, NULL AS resolution_source FROM l WHERE kind <> 'list' AND {strip('line')} <> ''
         UNION ALL SELECT i, pos, 'list', NULL, content, NULL, NULL, NULL FROM items
         UNION ALL SELECT i, len(lines), 'image', NULL, NULL, 'https://pbs.twimg.com/media/D' || i || '.jpg?format=jpg&name=orig', NULL, NULL FROM ({DOCS}) WHERE i % 11 <> 0
         UNION ALL SELECT i, len(lines) + 1, 'formula', NULL, 'x_' || (i % 10) || ' = ' || lang, NULL, NULL, 'entity-direct' FROM ({DOCS}) WHERE i % 11 <> 0
@@ -39,7 +49,7 @@ BLOCKS = f"""
     b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY pos) - 1 AS block_idx FROM parts)"""
 
 #: Markup of each block of an article as it is rendered.
-_PART = f"""CASE type WHEN 'heading' THEN '<h2>' || {esc3('raw')} || '</h2>' WHEN 'paragraph' THEN '<p>' || {esc3('raw')} || '</p>' WHEN 'blockquote' THEN '<blockquote><p>' || content || '</p></blockquote>'
+_PART = f"""CASE type WHEN 'heading' THEN '<h2>' || {esc3('raw')} || '</h2>' WHEN 'paragraph' THEN '<p>' || coalesce(marked, {esc3('raw')}) || '</p>' WHEN 'blockquote' THEN '<blockquote><p>' || content || '</p></blockquote>'
     WHEN 'list' THEN listed WHEN 'image' THEN '<figure><img src="' || replace(src, '&', '&amp;') || '" alt=""></figure>' WHEN 'formula' THEN '<figure><code>' || {esc('content')} || '</code></figure>'
     WHEN 'embedded_post' THEN '<aside><div>' || (CASE WHEN i % 2 = 0 THEN 'C D  @c' || (i % 5) ELSE '' END) || '</div>' || coalesce(content, '') || '<a href="' || url || '">post</a></aside>'
     WHEN 'link_card' THEN '<a href="' || url || '"><strong>Site</strong><small>site.example</small></a>' END"""
@@ -89,7 +99,7 @@ ORACLES = {
         FROM b GROUP BY i""",
     "render_html": f"""{BLOCKS},
         r AS (SELECT i, pos - (CASE WHEN pos % 7 = 5 THEN 1 ELSE 0 END) AS pos, '<ol><li>' || {esc3('min_by(line, pos)')} || coalesce('<ol><li>' || {esc3('max(line) FILTER (WHERE pos % 7 = 5)')} || '</li></ol>', '') || '</li></ol>' AS listed FROM l WHERE kind = 'list' GROUP BY ALL),
-        t AS (SELECT b.*, coalesce(l.line, b.content) AS raw, r.listed FROM b LEFT JOIN l ON b.i = l.i AND b.pos = l.pos LEFT JOIN r ON b.i = r.i AND b.pos = r.pos),
+        t AS (SELECT b.*, coalesce(l.line, b.content) AS raw, l.marked, r.listed FROM b LEFT JOIN (SELECT i, pos, line, {styled('line', esc3)} AS marked FROM l) l ON b.i = l.i AND b.pos = l.pos LEFT JOIN r ON b.i = r.i AND b.pos = r.pos),
         h AS (SELECT i, string_agg({_PART}, chr(10) ORDER BY pos) AS body FROM t GROUP BY i)
         SELECT d.i AS doc_id, 'Title of ' || d.i || ' in ' || lang AS filename,
                md5('<h1>Title of ' || d.i || ' in ' || lang || '</h1>' || chr(10) || '<p>Name ' || {esc('source')} || ' @u' || (d.i % 97) || ' October 10, 2018</p>' || chr(10) || h.body || chr(10) || '<a href="https://x.com/u' || (d.i % 97) || '/article/' || d.i || '">source</a>') AS html_md5
