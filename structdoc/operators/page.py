@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from structdoc.functions import text as T
 from structdoc.functions import urls as U
 from structdoc.operators import blocks as B
-from structdoc.operators import dom, inventory, lookup
+from structdoc.operators import dom, inventory, lookup, merge
 
 # Distances, sizes and scores that decide results.
 SUPPLEMENT_ABOVE, SUPPLEMENT_BELOW = 300, 600
 CAPTURE_ABOVE, CAPTURE_BELOW, CAPTURE_CHARS = 1000, 1800, 4
 EMBEDDED_IMAGES = 4
 POST_TITLE = 90
+TITLE_CHARS, TITLE_TAGS = 8, ("h1", "h2", "h3", "strong", "span", "div")
+NO_TITLE = r"(?i)^https?://|^x\.com\b|^twitter\.com\b|^(?:show more|read more|article|long post)$"
 ARTICLE_PATH, POST_PATH = r"/article/\d+", r"/status/(\d+)"
 
 
@@ -29,28 +31,37 @@ def card_title_score(is_link: Column, is_heading: Column, chars: Column, childre
 
 
 def linked_article(nodes: DataFrame) -> DataFrame:
-    """The first link of each page to an article: page_id, url without query and fragment, title_hint, the best title among the texts of the link."""
+    """The first link of each page to an article: page_id, url without query and fragment, title_hint.
+
+    The hint is the best title among the texts of the card around the link, or of the link itself: cleaned, of TITLE_CHARS letters or more, no address and none of
+    the phrases that every card has. Of equal scores the longer text counts, then the earlier.
+    """
     is_link = (F.col("tag") == "a") & F.coalesce(dom.attr("href").rlike(ARTICLE_PATH), F.lit(False))
-    children = F.count(F.lit(1)).over(Window.partitionBy("page_id", "parent_id"))
-    met = dom.owner_of(nodes, is_link, "link_id").where("link_id IS NOT NULL").withColumn("_siblings", children)
-    first = lookup.top_k(met.where("node_id = link_id"), ["page_id"], [F.col("pre")], 1).select("page_id", "link_id", U.without_query(dom.attr("href")).alias("url"))
-    texts = met.withColumn("_text", T.normalize_text(F.col("text"))).where(T.is_plausible_title(F.col("_text")))
+    first = lookup.top_k(nodes.where(is_link), ["page_id"], [F.col("pre")], 1).select("page_id", F.col("node_id").alias("link_id"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), U.without_query(dom.attr("href")).alias("url"))
+    is_card = F.coalesce(dom.attr("data-testid") == "card.wrapper", F.lit(False))
+    cards = nodes.where(is_card).select("page_id", "pre", F.col("pre").alias("_card_pre"), F.col("post").alias("_card_post"))
+    scope = lookup.asof(first.withColumnRenamed("_pre", "at"), cards, ["page_id"], "at", "pre", ["_card_pre", "_card_post"]).withColumnRenamed("at", "_pre")
+    around = F.coalesce(F.col("_card_post") > F.col("_post"), F.lit(False))
+    scope = scope.select("page_id", "link_id", F.when(around, F.col("_card_pre")).otherwise(F.col("_pre")).alias("_from"), F.when(around, F.col("_card_post")).otherwise(F.col("_post")).alias("_to"))
+    children = nodes.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("_children"))
+    said = T.clean_title(F.col("text"), F.lit(""), F.lit(""))
+    texts = nodes.where(F.col("tag").isin(*TITLE_TAGS, "a")).join(scope, "page_id").where(F.col("pre").between(F.col("_from"), F.col("_to")) & ((F.col("tag") != "a") | (F.col("node_id") == F.col("link_id"))))
+    texts = texts.withColumn("_text", said).where(T.is_plausible_title(F.col("_text")) & (F.length("_text") >= TITLE_CHARS) & ~F.col("_text").rlike(NO_TITLE))
     none = F.lit(None).cast("double")
-    score = card_title_score(F.col("tag") == "a", F.col("tag").isin(*dom.HEADING_TAGS), F.length("_text"), F.col("_siblings"), none, none)
-    best = lookup.top_k(texts.withColumn("_score", score), ["page_id", "link_id"], [F.desc("_score"), F.asc("pre")], 1).select("page_id", "link_id", F.col("_text").alias("title_hint"))
+    texts = texts.join(children, ["page_id", "node_id"], "left").withColumn("_score", card_title_score(F.col("tag") == "a", F.col("tag").isin("h1", "h2", "h3"), F.length("_text"), F.coalesce("_children", F.lit(0)), none, none))
+    best = lookup.top_k(texts, ["page_id", "link_id"], [F.desc("_score"), F.desc(F.length("_text")), F.asc("pre")], 1).select("page_id", "link_id", F.col("_text").alias("title_hint"))
     return first.join(best, ["page_id", "link_id"], "left").select("page_id", "url", "title_hint")
 
 
 def post_root(nodes: DataFrame, posts: DataFrame) -> DataFrame:
-    """The article element of each page's post: that with a time linked to the post, else with a link to it, else the first. posts: page_id, post_id."""
+    """The article element of each page's post: that with a time inside a link to the post, else with a link to it, else the first. posts: page_id, post_id."""
     held = dom.owner_of(nodes, F.col("tag") == "article", "article_id").where("article_id IS NOT NULL")
-    is_time = F.max(F.when(F.col("tag") == "time", F.col("pre"))).over(Window.partitionBy("page_id", "article_id"))
     link = F.when(F.col("tag") == "a", F.nullif(F.regexp_extract(dom.attr("href"), POST_PATH, 1), F.lit("")))
-    met = held.withColumn("_link", link).withColumn("_time", is_time).join(posts.select("page_id", "post_id"), "page_id", "left")
-    hit = F.coalesce(F.col("_link") == F.col("post_id"), F.lit(False))
-    timed = hit & F.coalesce(F.col("_time").between(F.col("pre"), F.col("post")), F.lit(False))
-    ranked = met.groupBy("page_id", "article_id").agg(F.max(F.when(timed, 2).when(hit, 1).otherwise(0)).alias("_hit"), F.min("pre").alias("pre"))
-    best = lookup.top_k(ranked, ["page_id"], [F.desc("_hit"), F.asc("pre")], 1).select("page_id", F.col("article_id").alias("node_id"))
+    met = held.join(posts.select("page_id", "post_id"), "page_id", "left").withColumn("_hit", F.coalesce(link == F.col("post_id"), F.lit(False)))
+    linked = dom.owner_of(met, F.col("_hit"), "_link")
+    timed = (F.col("tag") == "time") & F.col("_link").isNotNull()
+    ranked = linked.groupBy("page_id", "article_id").agg(F.max(F.when(timed, 2).when(F.col("_hit"), 1).otherwise(0)).alias("_hits"), F.min("pre").alias("pre"))
+    best = lookup.top_k(ranked, ["page_id"], [F.desc("_hits"), F.asc("pre")], 1).select("page_id", F.col("article_id").alias("node_id"))
     return best.join(nodes.select("page_id", "node_id", "pre", "post"), ["page_id", "node_id"])
 
 
@@ -146,9 +157,11 @@ def structured_blocks(nodes: DataFrame, root: DataFrame) -> DataFrame:
     )
 
 
-def page_articles(pages: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def page_articles(pages: DataFrame, nodes: DataFrame, captured: DataFrame | None = None, anchors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks) of pages(page_id, url, html) and their elements.
 
+    What was captured while a page was scrolled, with the texts seen beside it, takes its place among the blocks (merge.merge_captured).
+
     Blocks are those in the page's root without the heading that is the title and without its cover, without copies,
     neighbouring code as one, runs of bulleted paragraphs as lists, and numbered anew. documents: doc_id, type, title, url, author_handle,
     author_name, published, cover_image, blocks. A page without elements has no title and no blocks.
@@ -160,7 +173,10 @@ def page_articles(pages: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
     who = inventory.authors_in(nodes, pages).select("page_id", F.col("handle").alias("author_handle"), F.col("name").alias("author_name"))
     told = pages.select("page_id", "url").join(title, "page_id", "left").join(cover, "page_id", "left").join(times, "page_id", "left").join(who, "page_id", "left")
     named = told.select(F.col("page_id").alias("doc_id"), T.canonical_text(F.col("title")).alias("_title"), U.media_key(F.col("cover_image")).alias("_cover"))
-    found = structured_blocks(nodes, root).join(named, "doc_id")
+    found = structured_blocks(nodes, root)
+    if captured is not None:
+        found = merge.merge_captured(found, captured, anchors).drop("captured")
+    found = found.join(named, "doc_id")
     is_title = (F.col("type") == "heading") & (T.canonical_text(T.strip_tags_tight(F.col("html"))) == F.col("_title"))
     is_cover = F.col("type").isin("image", "figure") & (U.media_key(F.col("src")) == F.col("_cover"))
     found = found.where(~F.coalesce(is_title | is_cover, F.lit(False))).drop("_title", "_cover")

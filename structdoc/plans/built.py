@@ -127,8 +127,8 @@ def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE = (
-    '<!DOCTYPE html><html><head><title>Page of <c></title><meta property="og:image" content="https://pbs.twimg.com/media/C<id>.jpg"></head><body><nav><a href="/x">menu</a></nav>'
-    '<article><h1>Page of <c></h1><time datetime="2024-01-0<nine>">d</time><div data-testid="User-Name"><span>Name N<seven></span><span>@user<seven></span></div>'
+    '<!DOCTYPE html><html><head><title>Page of <name></title><meta property="og:image" content="https://pbs.twimg.com/media/C<id>.jpg"></head><body><nav><a href="/x">menu</a></nav>'
+    '<article><h1>Page of <name></h1><time datetime="2024-01-0<nine>">d</time><div data-testid="User-Name"><span>Name N<seven></span><span>@user<seven></span></div>'
     '<p>First <c> <a href="https://t.example/<id>?a=1&amp;b=2">link</a></p><h2>Part <id></h2><ul><li>one<ul><li>in <id></li></ul></li><li>two</li></ul>'
     '<pre class="language-py">x = <id></pre><pre>y = 2</pre><blockquote><p>q1</p><p>q2 <id></p></blockquote>'
     '<table><tr><th>a</th><th colspan="2">b</th></tr><tr><td>1</td><td>t<id></td></tr><tr></tr></table>'
@@ -138,15 +138,16 @@ PAGE = (
     '<article data-embedded="true"><span>@emb<five></span><time datetime="2023-05-05">t</time><p>embedded <id></p><a href="https://x.com/e/status/<id>">l</a><img src="i1"><img src="i2"><img src="i3"><img src="i4"><img src="i5"></article>'
     '<div data-testid="card.wrapper"><a href="https://www.card.example/<id>"><span>Card title <id></span><span>A longer description of card <id></span></a></div>'
     '<div data-testid="cardPoll"><div role="radio"><span role="radio">yes</span></div><div role="radio"><span role="radio">no <id></span></div></div>'
-    '<a href="https://x.com/u/article/<id>?s=2"><h3>Linked <c></h3></a></article></body></html>'
+    '<a href="https://x.com/u/article/<id>?s=2"><h3>Linked <name></h3></a></article></body></html>'
 )
 
 
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each document: page_id, url, html."""
-    letters = F.trim(F.regexp_replace(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 120), "[^A-Za-z ]", ""), " +", " "))
+    letters = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), " +", " "))
     i, c = F.col("doc_id"), F.coalesce(F.nullif(letters, F.lit("")), F.lit("empty"))
-    html = _filled(PAGE, id=i, c=c, nine=1 + i % 9, seven=i % 7, five=i % 5)
+    name = F.concat(F.lit("text "), i.cast("string"), F.lit(" in "), F.coalesce("lang", F.lit("xx")))
+    html = _filled(PAGE, id=i, name=name, c=c, nine=1 + i % 9, seven=i % 7, five=i % 5)
     return table(spark, sf_dir, "documents").select(i.alias("page_id"), _filled("https://x.com/user<seven>/article/<id>?x=1", seven=i % 7, id=i).alias("url"), html.alias("html"))
 
 

@@ -54,8 +54,8 @@ _PART = f"""CASE type WHEN 'heading' THEN '<h2>' || {esc3('raw')} || '</h2>' WHE
     WHEN 'embedded_post' THEN '<aside><div>' || (CASE WHEN i % 2 = 0 THEN 'C D  @c' || (i % 5) ELSE '' END) || '</div>' || coalesce(content, '') || '<a href="' || url || '">post</a></aside>'
     WHEN 'link_card' THEN '<a href="' || url || '"><strong>Site</strong><small>site.example</small></a>' END"""
 
-LETTERS = "coalesce(nullif(trim(regexp_replace(regexp_replace(substring(coalesce(text, ''), 1, 120), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')), ''), 'empty')"
-PAGES = f"SELECT doc_id AS i, {LETTERS} AS c FROM documents"
+LETTERS = "coalesce(nullif(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')), ''), 'empty')"
+PAGES = f"SELECT doc_id AS i, {LETTERS} AS c, 'text ' || doc_id || ' in ' || coalesce(lang, 'xx') AS name FROM documents"
 WORDS = "coalesce(nullif(trim(regexp_replace(regexp_replace(line, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')), ''), 'x')"
 BOXES = "SELECT l_orderkey AS page_id, l_linenumber::BIGINT AS item_id, ((l_partkey * 7 + l_suppkey * 3) % 2000 * 8 + l_linenumber)::BIGINT AS top, l_suppkey FROM lineitem"
 
@@ -74,6 +74,8 @@ ORACLES = {
             UNION ALL SELECT i, s || unnest(['', '.entityMap', '.entityMap.0', '.entityMap.0.data', '.entityMap.0.data.media_items.0', '.entityMap.1', '.entityMap.1.data', '.entityMap.2', '.entityMap.2.data', '.entityMap.3', '.entityMap.3.data']), i % 2 = 0 FROM d
             UNION ALL SELECT i, s || '.blocks.' || unnest(range(len(lines) + 4 + (CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END))), i % 2 = 0 FROM d
             UNION ALL SELECT i, s || '.blocks.' || (len(lines) + unnest(range(4))) || '.entity_ranges.0', i % 2 = 0 FROM d
+            UNION ALL SELECT i, s || '.blocks.' || pos || '.inline_style_ranges.' || unnest([0, 1, 2]), i % 2 = 0 FROM (SELECT *, unnest(range(len(lines))) AS pos FROM d) WHERE pos % 7 IN (2, 6)
+            UNION ALL SELECT i, s || '.blocks.' || pos || '.entity_ranges.0', i % 2 = 0 FROM (SELECT *, unnest(range(len(lines))) AS pos FROM d) WHERE pos % 7 = 6
         )
         SELECT i AS capture_id, path, (CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '.')) END)::INTEGER AS depth, in_string FROM p""",
     "payload_json_strings": f"SELECT i AS capture_id, '{RESULT}.content_state' AS path FROM ({DOCS}) WHERE i % 2 = 0",
@@ -105,16 +107,16 @@ ORACLES = {
                md5('<h1>Title of ' || d.i || ' in ' || lang || '</h1>' || chr(10) || '<p>Name ' || {esc('source')} || ' @u' || (d.i % 97) || ' October 10, 2018</p>' || chr(10) || h.body || chr(10) || '<a href="https://x.com/u' || (d.i % 97) || '/article/' || d.i || '">source</a>') AS html_md5
         FROM ({DOCS}) d JOIN h ON d.i = h.i""",
     "page_documents": f"""
-        SELECT i AS doc_id, 'article' AS type, 'Page of ' || c AS title, 'https://x.com/user' || (i % 7) || '/article/' || i AS url, 'user' || (i % 7) AS author_handle, 'Name N' || (i % 7) AS author_name,
+        SELECT i AS doc_id, 'article' AS type, 'Page of ' || name AS title, 'https://x.com/user' || (i % 7) || '/article/' || i AS url, 'user' || (i % 7) AS author_handle, 'Name N' || (i % 7) AS author_name,
                '2024-01-0' || (1 + i % 9) AS published, 'https://pbs.twimg.com/media/C' || i || '.jpg' AS cover_image, 13::BIGINT AS blocks FROM ({PAGES})""",
-    "page_linked_articles": f"SELECT i AS page_id, 'https://x.com/u/article/' || i AS url, 'Linked ' || c AS title_hint FROM ({PAGES})",
+    "page_linked_articles": f"SELECT i AS page_id, 'https://x.com/u/article/' || i AS url, 'Linked ' || name AS title_hint FROM ({PAGES})",
     "page_post_roots": "SELECT doc_id AS page_id, true AS found FROM documents",
     "page_embedded_posts": f"SELECT i AS page_id, 'emb' || (i % 5) AS author_handle, '2023-05-05' AS published, 'embedded ' || i AS text, 'https://x.com/e/status/' || i AS url, 'i1,i2,i3,i4' AS images FROM ({PAGES})",
     "page_media": f"SELECT i AS page_id, 'https://pbs.twimg.com/media/V' || i || '.jpg' AS poster, 'video' AS kind, NULL::VARCHAR AS url FROM ({PAGES})",
     "page_cards": f"SELECT i AS page_id, 'https://www.card.example/' || i AS url, 'Card title ' || i AS title, 'A longer description of card ' || i AS description, 'card.example' AS hostname FROM ({PAGES})",
     "page_polls": f"SELECT i AS page_id, 'yes|no ' || i AS options FROM ({PAGES})",
     "page_authors": f"SELECT i AS page_id, 'user' || (i % 7) AS handle, 'Name N' || (i % 7) AS name FROM ({PAGES})",
-    "page_titles": f"SELECT i AS page_id, 'Page of ' || c AS title, 'document' AS origin FROM ({PAGES})",
+    "page_titles": f"SELECT i AS page_id, 'Page of ' || name AS title, 'document' AS origin FROM ({PAGES})",
     "page_tables": f"""
         SELECT i AS page_id, v.* FROM ({PAGES}), LATERAL (VALUES (0, 0, true, 'a', NULL::INTEGER), (0, 1, true, 'b', 2), (1, 0, false, '1', NULL), (1, 1, false, 't' || i, NULL)) v("row", "column", header, html, colspan)""",
     "block_copies": f"""
@@ -183,7 +185,7 @@ ORACLES["page_document_blocks"] = f"""
         (0::BIGINT, 'paragraph', NULL::INTEGER, 'First ' || c || ' <a href="https://t.example/' || i || '?a=1&amp;b=2">link</a>', NULL, NULL), (1, 'heading', 2, 'Part ' || i, NULL, NULL),
         (2, 'list', NULL, '0one|1in ' || i || '|0two', NULL, NULL), (3, 'code', NULL, 'x = ' || i || chr(10) || 'y = 2', NULL, NULL), (4, 'blockquote', NULL, 'q1|q2 ' || i, NULL, NULL),
         (5, 'table', NULL, 'a,b|1,t' || i, NULL, NULL), (6, 'figure', NULL, NULL, 'https://pbs.twimg.com/media/F' || i || '.jpg', 'cap'), (7, 'separator', NULL, NULL, NULL, NULL),
-        (8, 'list', NULL, '0alpha ' || i || '|0beta', NULL, NULL), (9, 'media', NULL, NULL, NULL, NULL), (10, 'embedded_post', NULL, NULL, NULL, NULL), (11, 'link_card', NULL, NULL, NULL, NULL), (12, 'heading', 3, 'Linked ' || c, NULL, NULL)
+        (8, 'list', NULL, '0alpha ' || i || '|0beta', NULL, NULL), (9, 'media', NULL, NULL, NULL, NULL), (10, 'embedded_post', NULL, NULL, NULL, NULL), (11, 'link_card', NULL, NULL, NULL, NULL), (12, 'heading', 3, 'Linked ' || name, NULL, NULL)
     ) v(block_idx, type, level, content, src, caption)"""
 
 _INLINE = [

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structdoc.operators import merge
+from structdoc.plans import pages
+from structdoc.plans.sql import ORACLES as PAGE_SQL
+from structdoc.plans.sql import canonical, normalize, tight
 from structdoc.plans.tables import table
 from structdoc.streaming import rolling
 
@@ -31,7 +35,28 @@ def rolling_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.captured_items(observations(table(spark, sf_dir, "events")), every="6 hours", stable=2)
 
 
-QUERIES = {f.__name__: f for f in (rolling_items,)}
+def merged_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, captured, anchors) of pages: the places of some of a page's blocks are known, one kind of them wrongly, and three items are captured of every page."""
+    blocks = pages.page_dom_blocks(spark, sf_dir).select(F.col("page_id").alias("doc_id"), "block_idx", "type", F.lit(None).cast("string").alias("html"), "text", F.lit(None).cast("string").alias("latex"), F.lit(None).cast("string").alias("mathml"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("source_url"))
+    i, at = F.col("doc_id"), F.col("block_idx")
+    anchors = blocks.where((at % 3 == 1) | (at % 11 == 6)).select("doc_id", "text", F.when(at % 11 == 6, at * 100 - 350).otherwise(at * 100 + i % 50).alias("top"))
+    items = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"))
+    kind = F.element_at(F.array(F.lit("image"), F.lit("code"), F.lit("formula")), F.col("seq") + 1)
+    only = lambda k, value: F.when(F.col("seq") == k, value)
+    captured = items.select(
+        "doc_id", kind.alias("type"), F.lit(None).cast("string").alias("html"), only(1, F.concat(F.lit("x = "), i)).alias("text"), only(2, F.concat(F.lit("a_"), i)).alias("latex"), F.lit(None).cast("string").alias("mathml"),
+        only(0, F.concat(F.lit("https://pbs.twimg.com/media/I"), i, F.lit(".jpg"))).alias("src"), F.lit(None).cast("string").alias("source_url"), F.when((i % 13 != 0) | (F.col("seq") != 1), (i * 37 + F.col("seq") * 411) % 1500).alias("top"), "seq",
+    )
+    return blocks, captured, anchors
+
+
+def page_merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages with captured media, code and formulas at their places."""
+    merged = merge.merge_captured(*merged_inputs(spark, sf_dir))
+    return merged.select(F.col("doc_id").alias("page_id"), F.col("block_idx").cast("long").alias("block_idx"), "type", F.coalesce("text", "latex", "src").alias("content"), "captured")
+
+
+QUERIES = {f.__name__: f for f in (rolling_items, page_merged_blocks)}
 
 ORACLES = {
     "rolling_items": """
@@ -53,4 +78,20 @@ ORACLES = {
         b AS (SELECT c.*, stopped_round FROM c JOIN t USING (page) WHERE round <= stopped_round QUALIFY row_number() OVER (PARTITION BY page, kind, key ORDER BY i DESC) = 1)
         SELECT page, kind, key, row_number() OVER (PARTITION BY page, kind ORDER BY top, seq, key)::INTEGER AS place, seq, round::BIGINT AS round, area, anchored, referenced, text, top, stopped_round::BIGINT AS stopped_round FROM b
     """,
+    "page_merged_blocks": f"""
+        WITH b AS (SELECT page_id AS i, block_idx AS ix, type, text, {canonical(tight("text"))} AS key, nullif({canonical("substr(" + normalize(tight("text")) + ", 1, 240)")}, '') AS anchor FROM ({PAGE_SQL["page_blocks_native"]})),
+        f AS (SELECT i, anchor, min(ix) AS ix FROM b WHERE anchor IS NOT NULL GROUP BY ALL),
+        a AS (SELECT i, anchor, min(CASE WHEN ix % 11 = 6 THEN ix * 100 - 350 ELSE ix * 100 + i % 50 END)::DOUBLE AS top FROM b WHERE ix % 3 = 1 OR ix % 11 = 6 GROUP BY ALL),
+        m AS (SELECT i, ix, top, min(top) OVER (PARTITION BY i ORDER BY ix DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM f JOIN a USING (i, anchor)),
+        t AS (SELECT i, ix, top FROM m WHERE least IS NULL OR top <= least),
+        c AS (SELECT page_id AS i, seq, ['image', 'code', 'formula'][seq + 1] AS type, CASE seq WHEN 0 THEN 'https://pbs.twimg.com/media/I' || page_id || '.jpg' WHEN 1 THEN 'x = ' || page_id ELSE 'a_' || page_id END AS text,
+                     CASE WHEN page_id % 13 <> 0 OR seq <> 1 THEN (page_id * 37 + seq * 411) % 1500 END::DOUBLE AS top FROM pages, (SELECT unnest([0, 1, 2]) AS seq)),
+        p AS (SELECT c.*, (SELECT max(ix) FROM t WHERE t.i = c.i AND t.top <= c.top AND t.top = (SELECT max(top) FROM t WHERE t.i = c.i AND t.top <= c.top)) AS ix0, (SELECT max(top) FROM t WHERE t.i = c.i AND t.top <= c.top) AS t0,
+                     (SELECT min(ix) FROM t WHERE t.i = c.i AND t.top = (SELECT min(top) FROM t WHERE t.i = c.i AND t.top >= c.top)) AS ix1, (SELECT min(top) FROM t WHERE t.i = c.i AND t.top >= c.top) AS t1 FROM c),
+        r AS (SELECT i, type, text, key, false AS captured, ix::DOUBLE AS position, NULL AS top, NULL AS seq FROM b
+              UNION ALL SELECT i, type, text, NULL, true, CASE WHEN ix0 IS NOT NULL AND ix1 IS NOT NULL THEN ix0 + coalesce((ix1 - ix0) * ((top - t0) / nullif(t1 - t0, 0)), 0.5) WHEN ix0 IS NOT NULL THEN ix0 + 0.5 WHEN ix1 IS NOT NULL THEN ix1 - 0.5 END, top, seq FROM p),
+        n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY position NULLS LAST, captured, top NULLS FIRST, seq) AS n FROM r),
+        k AS (SELECT * FROM n WHERE captured OR key <> '' QUALIFY captured OR row_number() OVER (PARTITION BY i, key, captured ORDER BY n) = 1)
+        SELECT i AS page_id, row_number() OVER (PARTITION BY i ORDER BY n) - 1 AS block_idx, type, text AS content, captured FROM k
+    """,
 }

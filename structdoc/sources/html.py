@@ -52,6 +52,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.open: list[int] = []
+        self.levels: dict[str, list[int]] = {}  # for each tag the places in open where it stands
         self.tables: list[int] = []
         self.clock = self.unseen = 0
         self.text, self.markup = [], []
@@ -66,13 +67,13 @@ class _Reader(HTMLParser):
     def _close(self) -> None:
         node = self.nodes[self.open.pop()]
         tag = node[4]
+        self.levels[tag].pop()
         node[2], node[7], node[9], node[10] = self.clock, self.sizes[0], self.sizes[1], self.sizes[2] - node[10]
         self.clock += 1
         self.unseen -= tag in UNSEEN
         if tag in ("ul", "ol"):  # the item that holds a list doesn't have its text
-            item = next((self.nodes[i] for i in reversed(self.open) if self.nodes[i][4] == "li"), None)
-            if item:
-                item[12].append((node[6], node[7], node[8], node[9]))
+            if self.levels.get("li"):
+                self.nodes[self.open[self.levels["li"][-1]]][12].append((node[6], node[7], node[8], node[9]))
         if tag == "table":
             self.tables.pop()
         if tag in INLINE:
@@ -91,6 +92,7 @@ class _Reader(HTMLParser):
         parent, table = self.open[-1] if self.open else None, self.tables[-1] if self.tables else None
         self.nodes.append([parent, self.clock, None, len(self.open), tag, told, self.sizes[0], None, self.sizes[1], None, self.sizes[2], table, []])
         self.clock += 1
+        self.levels.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.nodes) - 1)
         self.unseen += tag in UNSEEN
         if tag == "table":
@@ -103,21 +105,20 @@ class _Reader(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _innermost(self, tags: set[str]) -> int:
+        return max((self.levels[t][-1] for t in tags if self.levels.get(t)), default=-1)
+
     def _end(self, kinds: set[str], stops: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.nodes[self.open[i]][4]
-            if tag in kinds:
-                while len(self.open) > i:
-                    self._close()
-                return
-            if tag in stops:
-                return
+        at = self._innermost(kinds)
+        if at >= 0 and at >= self._innermost(stops):
+            while len(self.open) > at:
+                self._close()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(self.nodes[i][4] == tag for i in reversed(self.open)):
-            while self.nodes[self.open[-1]][4] != tag:
+        if self.levels.get(tag):
+            at = self.levels[tag][-1]
+            while len(self.open) > at:
                 self._close()
-            self._close()
 
     def handle_data(self, data: str) -> None:
         if self.open and not self.unseen:

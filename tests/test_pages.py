@@ -6,6 +6,7 @@ import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from structdoc.functions import code, formula, text
 from structdoc.operators import blocks as B
@@ -149,3 +150,29 @@ def test_documents_are_posted(spark):
     server.shutdown()
     assert sorted(x["doc_id"] for x in seen) == list(range(5)) and all(x["parts"] == [x["doc_id"]] for x in seen)
     assert post_documents(df.where("false"), "http://127.0.0.1:1/") == 0
+
+
+def elements(spark, *pages):
+    from structdoc.sources.html import html_nodes
+
+    return html_nodes(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
+
+
+def test_the_post_is_where_a_link_holds_a_time(spark):
+    html = '<main><article><a href="/u/status/5">reply</a><time>1</time></article><article><a href="/u/status/5"><time>2</time></a><p>x</p><time>3</time></article></main>'
+    nodes = elements(spark, html, html.replace("status/5", "status/6"), "<article><p>no link</p></article>", "<p>none</p>")
+    posts = spark.createDataFrame([(i, "5") for i in range(4)], "page_id long, post_id string")
+    found = page.post_root(nodes, posts).join(nodes.where("tag = 'article'").select("page_id", "node_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pre")).alias("n")), ["page_id", "node_id"])
+    assert {r.page_id: r.n for r in found.collect()} == {0: 2, 1: 1, 2: 1}
+
+
+def test_hints_of_linked_articles(spark):
+    link = '<a href="https://x.com/u/article/7?s=1">{}</a>'
+    card = '<div data-testid="card.wrapper"><span>{}</span>' + link.format("<span>x.com/u and more</span>") + "</div>"
+    pages = [
+        link.format("<span>More info</span><h3>ab</h3><span>https://t.example/abcdef</span>"), link.format("<h3>A long enough heading</h3><span>some other words that are long</span>"),
+        link.format("<span>Read more</span>"), card.format("The card's own title"), link.format("<span>eight ch</span><span>nine char</span>"), "<a href='/other'>A plausible title here</a>",
+    ]
+    got = {r.page_id: (r.url, r.title_hint) for r in page.linked_article(elements(spark, *pages)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {0: "More infoabhttps://t.example/abcdef", 1: "A long enough heading", 2: None, 3: "The card's own title", 4: "eight chnine char"}  # 0 and 4: the whole link's text
+    assert {v[0] for v in got.values()} == {"https://x.com/u/article/7"}
