@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,38 @@ def drop_tables(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of an Arrow batch between Spark and Python where texts are long: Spark's own 10,000 take some hundred MB in either.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches of this session small unless its user has set their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(emit: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """emit, giving freed memory back to the system now and then and at its end: Python workers outlive their tasks and would keep the most they ever had."""
+
+    @wraps(emit)
+    def run(*args, **more):
+        for n, out in enumerate(emit(*args, **more)):
+            yield out
+            if n % 16 == 15:
+                _give_back()
+        _give_back()
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, is read many times, outlives executors."""
     path = shared_path(df.sparkSession, name)

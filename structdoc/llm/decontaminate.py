@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from structdoc.llm.common import trimmed
 from structdoc.llm.tokens import ALNUM, grams, joined, words
 
 #: Words of benchmark items in a shard, about: what is broadcast at a time.
@@ -123,6 +124,7 @@ class Index:
             yield low + own[found], found - base[own[found]], g[found], h, base, low
 
 
+@trimmed
 def _document_counts(batches: Iterator[pa.RecordBatch], shared, seed_words: int) -> Iterator[pa.RecordBatch]:
     index = shared.value
     for batch in batches:
@@ -188,6 +190,7 @@ def matches(index: Index, texts: pa.Array, seed_words: int, threshold: float) ->
     return out
 
 
+@trimmed
 def _aligned(batches: Iterator[pa.RecordBatch], shared, seed_words: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
@@ -197,6 +200,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], shared, seed_words: int, thresho
         yield pa.record_batch(list(map(pa.array, cols, kinds)), [x.split()[0] for x in FOUND.split(", ")])
 
 
+@trimmed
 def _clean(batches: Iterator[pa.RecordBatch], shared, text: int, seed_words: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.ones(batch.num_rows, dtype=bool)

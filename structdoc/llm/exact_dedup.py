@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structdoc.llm.common import ascii_lower, keyed_join, written
+from structdoc.llm.common import ascii_lower, keyed_join, trimmed, written
 
 #: Bytes of text that the rolling hash takes at a time; a longer text is taken alone.
 BLOCK = 1 << 20
@@ -69,6 +69,7 @@ def _id(chunk: bytes, id_bytes: int) -> bytes:
     return hashlib.sha256(chunk).digest()[:id_bytes]
 
 
+@trimmed
 def _emit_places(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int) -> Iterator[pa.RecordBatch]:
     """(text_sha256, pos, chunk_id, chunk) for every chunk of every text."""
     for batch in batches:
@@ -79,6 +80,7 @@ def _emit_places(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int)
             yield pa.record_batch([pa.array(digest), pa.array(range(len(pieces)), pa.int32()), pa.array([_id(c, id_bytes) for c in pieces], pa.binary()), pa.array(pieces, pa.binary())], ["text_sha256", "pos", "chunk_id", "chunk"])
 
 
+@trimmed
 def _emit_chunks(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int) -> Iterator[pa.RecordBatch]:
     """(chunk_id, chunk), once for each distinct chunk of a batch."""
     for batch in batches:
@@ -87,6 +89,7 @@ def _emit_chunks(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int)
         yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(list(seen), pa.binary())], ["chunk_id", "chunk"])
 
 
+@trimmed
 def _emit_recipes(batches: Iterator[pa.RecordBatch], average: int, id_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         recipes, digests = [], []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structdoc.llm.common import dropped, keyed_join, written
+from structdoc.llm.common import dropped, keyed_join, small_batches, trimmed, written
 from structdoc.llm.components import components
 from structdoc.llm.simhash import BITS_AT_ONCE
 from structdoc.llm.tokens import grams, mix, words
@@ -76,6 +76,7 @@ def prefix(of: np.ndarray, similarity: float, counted: np.ndarray, counts: np.nd
     return of[np.lexsort((of, seen))][: len(of) - int(np.ceil(similarity * len(of) - EPSILON)) + 1]
 
 
+@trimmed
 def _emit_sample(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in batch.column(0):
@@ -89,6 +90,7 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(low, rows)
 
 
+@trimmed
 def _emit_prefixes(batches: Iterator[pa.RecordBatch], n: int, similarity: float, shared) -> Iterator[pa.RecordBatch]:
     counted, counts = shared.value
     for batch in _sliced(batches):
@@ -104,6 +106,7 @@ def _has(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+@trimmed
 def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)
@@ -119,6 +122,7 @@ def _filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(out)
 
 
+@trimmed
 def _sift(batches: Iterator[pa.RecordBatch], at: int, shared, has: bool) -> Iterator[pa.RecordBatch]:
     """The rows whose key the filter has, or hasn't; a null key it hasn't."""
     for batch in batches:
@@ -127,6 +131,7 @@ def _sift(batches: Iterator[pa.RecordBatch], at: int, shared, has: bool) -> Iter
         yield batch.filter(pa.array(found == has))
 
 
+@trimmed
 def _emit_places(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The places of prefixes whose shingle the filter has."""
     for batch in _sliced(batches):
@@ -138,6 +143,7 @@ def _emit_places(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
         yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), pa.array(pos[found].astype(np.int32)), pa.array(first[found])], ["sig", "n", "fp", "pos", "shingle"])
 
 
+@trimmed
 def _emit_sets(batches: Iterator[pa.RecordBatch], n: int, shared) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(_sift(batches, 0, shared, True)):
         sets = [shingles(t.as_py(), n) for t in batch.column(1)]
@@ -196,6 +202,7 @@ def near(wide: np.ndarray, ones: np.ndarray, radius: int = RADIUS, wide_radius:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
 
 
+@trimmed
 def _compare(batches: Iterator[pa.RecordBatch], similarity: float, radii: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group -> pairs (a, b) of one group that links don't join yet and that can be similar."""
     held = None
@@ -265,6 +272,7 @@ def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8,
     sets; without by_fingerprints all that share a bucket are compared, so that no pair is lost by chance.
     """
     n = words_in_shingle
+    small_batches(docs.sparkSession)
     radius, wide_radius = radii = (RADIUS, WIDE_RADIUS) if by_fingerprints else (64, 64 * WIDE)
     named = docs.select("doc_id", "text").where("doc_id is not null")
     order = docs.sparkSession.sparkContext.broadcast(_order(named, n))

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from structdoc.llm.common import trimmed
+
 LETTER = regex.compile(r"\p{L}")
 BLOCK = 1 << 20
 #: Entries of the presence vectors that are scored at a time.
@@ -56,6 +58,7 @@ def gram_codes(text: str) -> np.ndarray:
     return parts[0] if len(parts) == 1 else distinct(np.concatenate(parts))
 
 
+@trimmed
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = [np.sort(gram_codes(value.as_py())).astype("<i4").tobytes() for value in batch.column(1)]
@@ -135,12 +138,14 @@ def predict(texts: pa.Array, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     return lang, score
 
 
+@trimmed
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, score = predict(batch.column(1), model.value)
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
+@trimmed
 def _accept(batches: Iterator[pa.RecordBatch], model, text: int, languages: frozenset[str] | None, min_score: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = zip(*predict(batch.column(text), model.value), strict=True)

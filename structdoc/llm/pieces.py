@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from structdoc.llm.common import trimmed
+
 SPACE = "▁".encode()
 #: Characters above which a text is encoded in parts, cut where no piece can reach across.
 LONG = 1 << 18
@@ -183,6 +185,7 @@ def codec(model: str) -> Codec:
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_equal boolean, spans_crc32 long"
 
 
+@trimmed
 def _digests(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     c = codec(model)
     for batch in batches:
@@ -217,6 +220,7 @@ def digest_pieces(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_digests, model=model), DIGESTS)
 
 
+@trimmed
 def _spans(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     c = codec(model)
     for batch in batches:
@@ -245,6 +249,7 @@ def encode_with_offsets(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_spans, model=model), "doc_id long, ids array<int>, begins array<long>, ends array<long>")
 
 
+@trimmed
 def _decoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     c = codec(model)
     for batch in batches:
