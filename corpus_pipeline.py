@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from structdoc.llm.common import shared_path
+from structdoc.llm.common import shared_path, small_batches
 from structdoc.llm.decontaminate import without_contaminated
 from structdoc.llm.exact_dedup import without_copies
 from structdoc.llm.langid import accepted
@@ -24,6 +24,7 @@ LANGUAGES, LEAST_SCORE = ("de", "en", "es", "fr"), 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the corpus's languages; texts without letters, in other languages or of an unclear one go."""
+    small_batches(spark)  # for all stages
     return accepted(docs, LANGUAGES, LEAST_SCORE)
 
 
