@@ -231,3 +231,33 @@ def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs(spark), none).collect() == [] and D.contaminated(empty(spark), none).collect() == []
     assert D.without_contaminated(docs(spark), none).count() == len(rows())
+
+
+@pytest.mark.parametrize(("n", "score"), [(3, 1.0), (5, 1.0), (7, 0.8), (7, 0.75), (12, 0.7), (40, 0.7), (250, 0.7)])
+def test_recall_by_the_length_of_items(spark, n, score):
+    """Of edited copies whose best alignment reaches the score, at least nine tenths are found, short items too."""
+    rng = random.Random(n)
+    words = lambda k: [f"v{rng.randint(0, 2000)}" for _ in range(k)]
+    items = [(i, words(n)) for i in range(8)]
+    data = []
+    for i in range(48):
+        copy = list(items[i % 8][1])
+        for _ in range(rng.randint(0, 1 + n // 12)):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[], ["new"]]) if n > 3 and rng.random() < 0.5 else [copy[at]]
+        data.append((i, words(10) + copy + words(10)))
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{key} long, text string")
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(frame(data, "doc_id"), frame(items, "item_id"), short_threshold=score).collect()}
+    number = {w: i for i, w in enumerate(sorted({w for _, t in items + data for w in t}))}
+    best = {i: brute_score([number[w] for w in items[i % 8][1]], [number[w] for w in text]) / (2 * n) for i, text in data}
+    wanted = {(i, i % 8) for i in best if best[i] >= score}
+    assert len(wanted) >= 8 and len(found & wanted) >= 0.9 * len(wanted)
+
+
+def test_repeated_items_and_seeds_that_many_items_share(spark):
+    common = "this phrase stands in every item of all"
+    items = [(i, f"{common} with word{i} and other{i} and third{i} behind") for i in range(150)] + [(7, "again another text for seven that is long enough to count")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(1, items[3][1]), (2, common), (3, items[-1][1]), (4, items[7][1])], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(table, benchmark, threshold=0.9).collect()}
+    assert got == {(1, 3), (3, 7), (4, 7)}
