@@ -11,6 +11,7 @@ from structdoc.plans.sql import ORACLES as PAGE_SQL
 from structdoc.plans.sql import canonical, normalize, tight
 from structdoc.plans.tables import table
 from structdoc.streaming import rolling
+from structdoc.streaming.capture import correlate_all
 
 
 def observations(events: DataFrame) -> DataFrame:
@@ -56,7 +57,15 @@ def page_merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("doc_id").alias("page_id"), F.col("block_idx").cast("long").alias("block_idx"), "type", F.coalesce("text", "latex", "src").alias("content"), "captured")
 
 
-QUERIES = {f.__name__: f for f in (rolling_items, page_merged_blocks)}
+def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each view with the user's purchases within an hour after it, and the views and purchases that met none, by the operator that streams of requests use too."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    views = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("received_at"))
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("finished_at"))
+    return correlate_all(views, bought, "user_id", "1 hour").select("user_id", "view_id", "purchase_id", "outcome")
+
+
+QUERIES = {f.__name__: f for f in (rolling_items, page_merged_blocks, request_outcomes)}
 
 ORACLES = {
     "rolling_items": """
@@ -94,4 +103,9 @@ ORACLES = {
         k AS (SELECT * FROM n WHERE captured OR key <> '' QUALIFY captured OR row_number() OVER (PARTITION BY i, key, captured ORDER BY n) = 1)
         SELECT i AS page_id, row_number() OVER (PARTITION BY i ORDER BY n) - 1 AS block_idx, type, text AS content, captured FROM k
     """,
+    "request_outcomes": """
+        SELECT coalesce(v.user_id, p.user_id) AS user_id, v.event_id AS view_id, p.event_id AS purchase_id, CASE WHEN v.event_id IS NULL THEN 'no_response' WHEN p.event_id IS NULL THEN 'no_end' ELSE 'met' END AS outcome
+        FROM (SELECT * FROM events WHERE event_type = 'view') v FULL OUTER JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+          ON v.user_id = p.user_id AND epoch_us(p.ts) BETWEEN epoch_us(v.ts) AND epoch_us(v.ts) + 3600000000
+    """,
 }

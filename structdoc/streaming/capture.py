@@ -22,6 +22,21 @@ def correlate(received: DataFrame, finished: DataFrame, key: str, within: str, r
     return a.join(b, met).drop("_key")
 
 
+def correlate_all(received: DataFrame, finished: DataFrame, key: str, within: str, received_at: str = "received_at", finished_at: str = "finished_at") -> DataFrame:
+    """Responses with the ends of their loading like correlate(), and those of either side that met none: with ``outcome``, met, no_end or no_response.
+
+    On streams both sides need watermarks: a row that meets nothing is reported, and leaves the state, when the watermark has passed the time in which it could. A response that met
+    an end isn't reported again; one that met several is there with each. Rows with a null key or time meet nothing; on tables they are reported, a stream drops rows without a time. Columns of both sides but the key must differ.
+    """
+    other = f"{key}_of_end"
+    a, b = received, finished.withColumnRenamed(key, other)
+    met = (F.col(key) == F.col(other)) & (F.col(finished_at) >= F.col(received_at)) & (F.col(finished_at) <= F.col(received_at) + F.expr(f"INTERVAL {within}"))
+    both = a.join(b, met, "full_outer")
+    outcome = F.when(F.col(received_at).isNotNull() & F.col(finished_at).isNotNull(), "met").when(F.col(received_at).isNotNull() | F.col(key).isNotNull(), "no_end").otherwise("no_response")
+    rest = [c for c in both.columns if c not in (key, other)]
+    return both.select(F.coalesce(key, other).alias(key), *rest, outcome.alias("outcome"))
+
+
 def quiet_sessions(df: DataFrame, keys: list[str], at: str, quiet: str, longest: str | None = None) -> DataFrame:
     """Sessions that end after a quiet period: keys, start, end, n, and with a longest time whether it stopped them. Works on streams with a watermark and on tables.
 

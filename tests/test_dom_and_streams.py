@@ -87,3 +87,22 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "m/x.txt").write_bytes(b"abc")
     files = spark.read.format("binaryFile").load(str(tmp_path / "m"))
     assert [r.data_url for r in data_urls(files).collect()] == ["data:image/png;base64,YWJj"]
+
+
+def test_what_meets_nothing_is_reported(spark, tmp_path):
+    base = spark.sql("SELECT CAST(id AS STRING) id, timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,CAST(id * 40 AS DECIMAL(18,6))) received_at FROM range(30)")
+    done = base.select("id", (F.col("received_at") + F.expr("INTERVAL 5 seconds")).alias("finished_at")).where("id <> '3'")
+    done = done.unionByName(spark.sql("SELECT 'stray' id, timestamp'2024-01-01 00:07:00' finished_at")).unionByName(spark.sql("SELECT '9' id, timestamp'2024-01-01 00:06:03' finished_at"))  # 9 ends twice
+    late = [("end", "2024-01-03"), ("last", "2024-01-05")]  # both sides go on, so that the watermark passes
+    told = lambda name: spark.createDataFrame(late, "id string, t string").select("id", F.col("t").cast("timestamp").alias(name))
+    want = {(str(i), "met" if i != 3 else "no_end") for i in range(30)} | {("stray", "no_response")}
+    table = capture.correlate_all(base, done, "id", "10 seconds")
+    assert {(r.id, r.outcome) for r in table.collect()} == want and table.count() == 32
+    received = capture.timed(stream(spark, tmp_path, base.unionByName(told("received_at")).repartition(1).sortWithinPartitions("received_at"), "ra"), "received_at")
+    finished = capture.timed(stream(spark, tmp_path, done.unionByName(told("finished_at")).repartition(1).sortWithinPartitions("finished_at"), "fa"), "finished_at")
+    got = drain(capture.correlate_all(received, finished, "id", "10 seconds"), "outcomes", "append").collect()
+    assert {(r.id, r.outcome) for r in got if r.id not in ("end", "last")} == want
+    assert sum(r.id == "9" for r in got) == 2 and sum(r.id == "3" for r in got) == 1
+    empty = capture.correlate_all(base.limit(0), done.limit(0), "id", "10 seconds")
+    nulls = spark.sql("SELECT CAST(NULL AS STRING) id, timestamp'2024-01-01' received_at")
+    assert empty.count() == 0 and [r.outcome for r in capture.correlate_all(nulls, done.limit(0), "id", "10 seconds").collect()] == ["no_end"]
