@@ -22,6 +22,27 @@ TITLE_SCORES = {"explicit": 1500, "h1": 1300, "heading": 900, "meta": 700, "docu
 SLACK = 8
 
 
+def last_candidate(srcset: Column) -> Column:
+    """The address of the last candidate of a srcset, which is the largest where they are written in order; null without any."""
+    candidates = F.filter(F.transform(F.split(srcset, ","), lambda c: T.strip(c)), lambda c: c != "")
+    return F.nullif(F.element_at(F.split(F.try_element_at(candidates, F.lit(-1)), r"\s"), 1), F.lit(""))
+
+
+def image_addresses(nodes: DataFrame) -> DataFrame:
+    """The images of pages with the address that they show: page_id, node_id, pre, src, alt.
+
+    The last candidate of the image's srcset counts, or without one of that of the first source with a srcset in the picture around it, then src; addresses that hold the
+    data themselves don't count, and src is null if no other is left. A page without images has no rows.
+    """
+    outer = dom.owner_of(nodes, F.col("tag") == "picture", "picture_id")
+    told = F.when(F.col("tag") == "source", F.nullif(dom.attr("srcset"), F.lit("")))
+    sources = outer.where(told.isNotNull() & F.col("picture_id").isNotNull()).groupBy("page_id", "picture_id").agg(F.min_by(told, "pre").alias("_around"))
+    images = outer.where("tag = 'img'").join(sources, ["page_id", "picture_id"], "left")
+    srcset = F.coalesce(F.nullif(dom.attr("srcset"), F.lit("")), F.col("_around"))
+    outside = lambda c: F.when(~c.rlike("^(?:data|blob):") & (c != ""), c)
+    return images.select("page_id", "node_id", "pre", F.coalesce(outside(last_candidate(srcset)), outside(dom.attr("src"))).alias("src"), dom.attr("alt").alias("alt"))
+
+
 def usable_images(images: DataFrame) -> DataFrame:
     """Images with an allowed address that aren't too small, too narrow or likely avatars. images: src, width, height, hint, ..."""
     src = U.media_url(F.col("src"), "large", fill_format=False)

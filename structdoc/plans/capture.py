@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from structdoc.operators import merge
+from structdoc.operators import inventory, merge
 from structdoc.plans import pages
 from structdoc.plans.sql import ORACLES as PAGE_SQL
 from structdoc.plans.sql import canonical, normalize, tight
 from structdoc.plans.tables import table
+from structdoc.sources.html import html_nodes
 from structdoc.streaming import rolling
 from structdoc.streaming.capture import correlate_all
 
@@ -65,7 +66,28 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate_all(views, bought, "user_id", "1 hour").select("user_id", "view_id", "purchase_id", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (rolling_items, page_merged_blocks, request_outcomes)}
+IMAGES = (
+    '<p><img src="https://a.example/<id>/<k>/<chars>.jpg"></p>',
+    '<img src="https://a.example/small.jpg" srcset="x1.jpg 1x, https://a.example/<id>/<k>-<chars>.jpg 2x , ">',
+    '<picture><source media="m"><source srcset="https://a.example/p/<id>/<k>.jpg 400w"><source srcset="other.jpg"><img src="data:x" alt="<chars>"></picture>',
+    '<img src="data:image/gif;base64,x"><img src="blob:y" srcset="data:z 1x">',
+)
+
+
+def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of the images of pages that have one for each line of a document, written in four ways."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+
+    def image(line, k):
+        form = F.element_at(F.array(*map(F.lit, IMAGES)), (k % 4 + 1).cast("int"))
+        return F.replace(F.replace(F.replace(form, F.lit("<id>"), F.col("page_id").cast("string")), F.lit("<k>"), k.cast("string")), F.lit("<chars>"), F.length(line).cast("string"))
+
+    nodes = html_nodes(lines.select("page_id", F.array_join(F.transform("lines", image), "").alias("html")))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1
+    return inventory.image_addresses(nodes).select("page_id", number.cast("long").alias("n"), "src", "alt")
+
+
+QUERIES = {f.__name__: f for f in (rolling_items, page_merged_blocks, request_outcomes, image_sources)}
 
 ORACLES = {
     "rolling_items": """
@@ -108,4 +130,11 @@ ORACLES = {
         FROM (SELECT * FROM events WHERE event_type = 'view') v FULL OUTER JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
           ON v.user_id = p.user_id AND epoch_us(p.ts) BETWEEN epoch_us(v.ts) AND epoch_us(v.ts) + 3600000000
     """,
+    "image_sources": """
+        WITH l AS (SELECT doc_id AS i, unnest(range(len(l))) AS k, length(unnest(l)) AS chars FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+        m AS (SELECT i, k, 0 AS part, CASE k % 4 WHEN 0 THEN 'https://a.example/' || i || '/' || k || '/' || chars || '.jpg' WHEN 1 THEN 'https://a.example/' || i || '/' || k || '-' || chars || '.jpg' WHEN 2 THEN 'https://a.example/p/' || i || '/' || k || '.jpg' END AS src,
+                     CASE WHEN k % 4 = 2 THEN chars::VARCHAR END AS alt FROM l
+              UNION ALL SELECT i, k, 1, NULL, NULL FROM l WHERE k % 4 = 3)
+        SELECT i AS page_id, row_number() OVER (PARTITION BY i ORDER BY k, part) - 1 AS n, src, alt FROM m
+    """,
 }
