@@ -261,3 +261,55 @@ def test_repeated_items_and_seeds_that_many_items_share(spark):
     table = spark.createDataFrame([(1, items[3][1]), (2, common), (3, items[-1][1]), (4, items[7][1])], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.contaminated(table, benchmark, threshold=0.9).collect()}
     assert got == {(1, 3), (3, 7), (4, 7)}
+
+
+def test_toxicity_scores_equal_sums_over_words(spark):
+    """The query's scores against the classifier's weights added up word by word, and held-out labels that change nothing."""
+    import re
+    import zlib
+
+    from structdoc.llm.tokens import span_hash
+
+    rng = random.Random(9)
+    bad = ["idiot", "moron", "clowns"]
+    table, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        words = [rng.choice(["river", "stone", "Lake", "élan", "walks", "under", "the", "ab", "abcd", "abcdef"]) for _ in range(rng.randint(3, 30))] + ([rng.choice(bad)] * rng.randint(1, 3) if toxic else [])
+        rng.shuffle(words)
+        table.append((i, " ".join(words) + rng.choice(["", "!!", " 12 a_b"]), "k"))
+        labels.append((i, int(toxic), 1))
+    table += [(900, None, "k"), (901, "", "k"), (902, "x" * 200_000 + " idiot", "k"), (None, "idiot", "k")]
+    frame, known = spark.createDataFrame(table, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int, text int")
+    turned = [(i, (1 - t) if zlib.crc32(str(i).encode()) % 3 == 1 else t, x) for i, t, x in labels]
+    got = toxicity.score_toxicity(frame, known).collect()
+    again = toxicity.score_toxicity(frame, spark.createDataFrame(turned, "doc_id long, toxic int, text int")).collect()
+    assert {r.doc_id: r.score for r in got} == {r.doc_id: r.score for r in again}
+    weights, base = toxicity.fit(toxicity.training_sample(frame, known.where(toxicity.id_remainder(3) != 1), 3000))
+
+    def place(piece, n):
+        h = span_hash(np.frombuffer(piece, dtype=np.uint8), np.array([0]), np.array([len(piece)]))
+        return int((h * np.uint64(2 * n + 1) >> np.uint64(44))[0])
+
+    for r in got:
+        text = next(t for i, t, _ in table if i == r.doc_id) or ""
+        places = set()
+        for word in re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode()):
+            places |= {place(word, 0)} | {place(word[:size], n) for n, size in enumerate(toxicity.BEGINNINGS, start=1) if len(word) > size}
+        total = base + sum(float(weights[p]) for p in sorted(places))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-6
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) or r.doc_id is None
+        assert r.predicted == int(r.score >= 0.7)
+    caught = [r.predicted for r in got if r.doc_id is not None and r.doc_id < 600 and r.doc_id % 5 == 0 and r.held_out]
+    assert sum(caught) >= 0.9 * len(caught)
+
+
+def test_posteriors_equal_products_by_hand():
+    rng = np.random.default_rng(4)
+    counts, rates, prior = rng.random((50, 6)) * (rng.random((50, 6)) < 0.4), [rng.random(6), rng.random(6)], 0.3
+    got = toxicity._posterior(counts, rates, prior)
+    for row, q in zip(counts, got, strict=True):
+        yes, no = prior, 1 - prior
+        for c, y, n in zip(row, *rates, strict=True):
+            yes, no = yes * y**c, no * n**c
+        assert abs(q - yes / (yes + no)) < 1e-9
