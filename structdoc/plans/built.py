@@ -35,7 +35,7 @@ def _filled(pattern: str, **values: Column) -> Column:
     return out
 
 
-STATE = '{"blocks":<blocks>,"entityMap":{"0":{"type":"MEDIA","data":{"media_items":[{"media_id":"m<id>"}]}},"1":{"type":"LATEX","data":{"latex":"$$x_<ten> = <lang>$$"}},"2":{"type":"TWEET","data":{"post_id":"p<id>"}},"3":{"type":"LINK","data":{"url":"https://www.site.example/a?d=<id>","title":"Site"}}}}'
+STATE = '{"blocks":<blocks>,"entityMap":{"0":{"type":"MEDIA","data":{"media_items":[{"media_id":"m<id>"}]}},"1":{"type":"LATEX","data":{"content":{"value":{"data":{"latex":"$$x_<ten> = <lang>$$"}}}}},"2":{"type":"TWEET","data":{"post_id":"p<id>"}},"3":{"type":"LINK","data":{"url":"https://www.site.example/a?d=<id>","title":"Site"}}}}'
 USER = '{"user_results":{"result":{"legacy":{"name":"<name>","screen_name":"<handle>"}}}}'
 POST = '"post":{"rest_id":"p<id>","full_text":"Quoted <post> & <id>","created_at":"Thu Oct 11 08:00:00 +0000 2018","core":<poster>},'
 ARTICLE = (

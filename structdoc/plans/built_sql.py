@@ -71,7 +71,7 @@ ORACLES = {
             SELECT i, unnest(['', 'data', 'data.tweetResult', '{ROOT}', '{ROOT}.core', '{ROOT}.core.user_results', '{ROOT}.core.user_results.result', '{ROOT}.core.user_results.result.legacy', '{ROOT}.article', '{ROOT}.article.article_results',
                 '{RESULT}', '{RESULT}.cover_media', '{RESULT}.media_entities.0', '{RESULT}.media_entities.0.original_info', '{RESULT}.formula_store', '{RESULT}.formula_store.stored-' || i]) AS path, false AS in_string FROM d
             UNION ALL SELECT i, unnest(['data.post', 'data.post.core', 'data.post.core.user_results', 'data.post.core.user_results.result', 'data.post.core.user_results.result.legacy']), false FROM d WHERE i % 2 = 0
-            UNION ALL SELECT i, s || unnest(['', '.entityMap', '.entityMap.0', '.entityMap.0.data', '.entityMap.0.data.media_items.0', '.entityMap.1', '.entityMap.1.data', '.entityMap.2', '.entityMap.2.data', '.entityMap.3', '.entityMap.3.data']), i % 2 = 0 FROM d
+            UNION ALL SELECT i, s || unnest(['', '.entityMap', '.entityMap.0', '.entityMap.0.data', '.entityMap.0.data.media_items.0', '.entityMap.1', '.entityMap.1.data', '.entityMap.1.data.content', '.entityMap.1.data.content.value', '.entityMap.1.data.content.value.data', '.entityMap.2', '.entityMap.2.data', '.entityMap.3', '.entityMap.3.data']), i % 2 = 0 FROM d
             UNION ALL SELECT i, s || '.blocks.' || unnest(range(len(lines) + 4 + (CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END))), i % 2 = 0 FROM d
             UNION ALL SELECT i, s || '.blocks.' || (len(lines) + unnest(range(4))) || '.entity_ranges.0', i % 2 = 0 FROM d
             UNION ALL SELECT i, s || '.blocks.' || pos || '.inline_style_ranges.' || unnest([0, 1, 2]), i % 2 = 0 FROM (SELECT *, unnest(range(len(lines))) AS pos FROM d) WHERE pos % 7 IN (2, 6)

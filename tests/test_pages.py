@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from structdoc.functions import code, formula, text
 from structdoc.operators import blocks as B
-from structdoc.operators import draft, page
+from structdoc.operators import page
 from structdoc.plans import literals as L
 from structdoc.plans.article import parse_articles
 from structdoc.sources.html import html_nodes, read_html
@@ -61,8 +61,10 @@ def test_the_first_formula_of_several(spark):
 
 
 def test_sources_under_other_keys(spark):
-    data = [json.dumps({"formula": {"latex": "x_1"}}), json.dumps({"latex": "y_1", "formula": {"latex": "x_1"}}), json.dumps({"data": {"value": {"deep": 1}, "text": "z_1"}})]
-    got = spark.createDataFrame([(d,) for d in data], "entity_data string").select(formula.first_formula(draft._sources("entity_data")).alias("f")).select("f.latex").collect()
+    from structdoc.sources.payloads import formula_sources
+
+    data = [{"formula": {"latex": "x_1"}}, {"latex": "y_1", "formula": {"latex": "x_1"}}, {"data": {"value": {"deep": 1}, "text": "z_1"}}]
+    got = spark.createDataFrame([(formula_sources(d),) for d in data], "sources array<string>").select(formula.first_formula(F.col("sources")).alias("f")).select("f.latex").collect()
     assert [r[0] for r in got] == ["x_1", "y_1", "z_1"]
 
 
@@ -176,3 +178,14 @@ def test_hints_of_linked_articles(spark):
     got = {r.page_id: (r.url, r.title_hint) for r in page.linked_article(elements(spark, *pages)).collect()}
     assert {k: v[1] for k, v in got.items()} == {0: "More infoabhttps://t.example/abcdef", 1: "A long enough heading", 2: None, 3: "The card's own title", 4: "eight chnine char"}  # 0 and 4: the whole link's text
     assert {v[0] for v in got.values()} == {"https://x.com/u/article/7"}
+
+
+def test_formula_sources_at_any_depth():
+    from structdoc.sources.payloads import formula_sources
+
+    assert formula_sources({"text": "t", "content": {"value": {"latex": "deep", "mathml": "<math/>"}}, "tex": "own", "formula": {"tex": "last"}, "data": " "}) == ["own", "t", "<math/>", "deep", "last"]
+    assert formula_sources({}) == [] and formula_sources({"content": [1], "value": 3, "latex": None}) == []
+    deep = {"latex": "x"}
+    for _ in range(50_000):
+        deep = {"data": deep}
+    assert formula_sources(deep) == ["x"]
