@@ -133,14 +133,15 @@ def _sift(batches: Iterator[pa.RecordBatch], at: int, shared, has: bool) -> Iter
 
 @trimmed
 def _emit_places(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The places of prefixes whose shingle the filter has."""
+    """The places of prefixes whose shingle the filter has, with the shingle of the place before, 0 for none."""
     for batch in _sliced(batches):
         first, size = batch.column(3).flatten().to_numpy(), np.diff(batch.column(3).offsets.to_numpy())
         row = np.repeat(np.arange(len(size)), size)
         pos = np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
         found = np.flatnonzero(_has(shared.value, first))
         of = pa.array(row[found])
-        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), pa.array(pos[found].astype(np.int32)), pa.array(first[found])], ["sig", "n", "fp", "pos", "shingle"])
+        before = np.where(np.r_[False, row[found][1:] == row[found][:-1]][: len(found)], np.r_[0, first[found][:-1]][: len(found)], 0)
+        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), pa.array(pos[found].astype(np.int32)), pa.array(first[found]), pa.array(before)], ["sig", "n", "fp", "pos", "shingle", "before"])
 
 
 @trimmed
@@ -204,19 +205,22 @@ def near(wide: np.ndarray, ones: np.ndarray, radius: int = RADIUS, wide_radius:
 
 @trimmed
 def _compare(batches: Iterator[pa.RecordBatch], similarity: float, radii: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group -> pairs (a, b) of one group that links don't join yet and that can be similar."""
+    """Rows sorted by group -> pairs (a, b) of one group that links don't join yet and that can be similar.
+
+    Two rows with the same shingle before this one have met in its bucket, where they stand earlier, so what is possible here is possible there: the pair comes from there.
+    """
     held = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        shingle, lo, hi, part, sig, n, pos, comp = (t.column(i).to_numpy() for i in range(8))
-        wide = np.stack([t.column(8 + i).to_numpy() for i in range(WIDE)], axis=1).view(np.uint64)
+        shingle, lo, hi, part, sig, n, pos, comp, before = (t.column(i).to_numpy() for i in range(9))
+        wide = np.stack([t.column(9 + i).to_numpy() for i in range(WIDE)], axis=1).view(np.uint64)
         ones = np.bitwise_count(wide[:, 0]).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         for x, y in zip(starts.tolist(), [*starts.tolist(), len(sig)][1:], strict=True):
             order = x + np.argsort(ones[x:y], kind="stable")
             i, j = near(wide[order], ones[order], *radii)
             i, j = order[i], order[j]
-            ok = (comp[i] != comp[j]) & possible(similarity, n[i], pos[i], n[j], pos[j])
+            ok = (comp[i] != comp[j]) & ((before[i] != before[j]) | (before[i] == 0)) & possible(similarity, n[i], pos[i], n[j], pos[j])
             if lo[x] != hi[x]:
                 ok &= part[i] != part[j]
             if ok.any():
@@ -257,7 +261,7 @@ def _rest(shared: DataFrame, heads: DataFrame, stars: DataFrame, similarity: flo
     own = F.pmod(F.xxhash64("sig"), F.when(is_loose, loose_parts).otherwise(joined_parts)).cast("int")
     rows = rows.withColumn("part", F.when(is_loose, own).otherwise(loose_parts + own))
     rows = rows.withColumn("other", F.explode(F.when(is_loose, F.sequence(F.lit(0), loose_parts + joined_parts - 1)).otherwise(all_loose)))
-    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", *(F.col("wide")[i].alias(f"wide{i}") for i in range(WIDE)))
+    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "sig", "n", "pos", "comp", "before", *(F.col("wide")[i].alias(f"wide{i}") for i in range(WIDE)))
     rows = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
     return rows.mapInArrow(partial(_compare, similarity=similarity, radii=radii), "a long, b long").distinct()
 
@@ -280,7 +284,7 @@ def similar(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8,
     heads = written(rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("wide").alias("wide")), "heads")
     several = rows.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
     maybe = _filter(several.select("shingle"))  # lets some others through, which then have a hub and no partner
-    places = rows.select("sig", "n", "fp", "prefix").mapInArrow(lambda b: _emit_places(b, maybe), "sig long, n int, fp long, pos int, shingle long").distinct()
+    places = rows.select("sig", "n", "fp", "prefix").mapInArrow(lambda b: _emit_places(b, maybe), "sig long, n int, fp long, pos int, shingle long, before long").distinct()
     places = written(places, "places")
     maybe.unpersist()
     hubs = places.groupBy("shingle").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("place"), "sig", "n", "pos", "fp")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
