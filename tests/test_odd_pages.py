@@ -35,3 +35,7 @@ def test_scores_of_code_are_those_of_sql(spark, odd):
 
 def test_titles_are_those_of_sql(spark, odd):
     met(spark, odd, "page_title")
+
+
+def test_bodies_are_those_of_sql(spark, odd):
+    met(spark, odd, "page_body_top1")
