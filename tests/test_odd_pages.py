@@ -37,5 +37,13 @@ def test_titles_are_those_of_sql(spark, odd):
     met(spark, odd, "page_title")
 
 
+def test_blocks_of_elements_are_those_of_sql(spark, odd):
+    met(spark, odd, "page_dom_blocks")
+
+
 def test_bodies_are_those_of_sql(spark, odd):
     met(spark, odd, "page_body_top1")
+
+
+def test_merged_blocks_are_those_of_sql(spark, odd):
+    met(spark, odd, "page_merged_blocks")
