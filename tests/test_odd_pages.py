@@ -47,3 +47,12 @@ def test_bodies_are_those_of_sql(spark, odd):
 
 def test_merged_blocks_are_those_of_sql(spark, odd):
     met(spark, odd, "page_merged_blocks")
+
+
+def test_patterns_keep_backslashes(spark):
+    from pyspark.sql import functions as F
+
+    from structdoc.functions import code
+
+    found = spark.range(1).select(code.first_rule(F.lit("\\begin{a}"), code.BLOCK_RULES).alias("a"), code.first_rule(F.lit("\\sum"), code.BLOCK_RULES).alias("b")).first()
+    assert tuple(found) == ("latex", "latex")
