@@ -19,3 +19,8 @@ def test_asked_columns_are_those_of_the_whole_walk(spark):
 def test_formulas_take_one_walk(spark):
     plan = __spark_entry__.queries()["formula_index"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_pages_are_read_once(spark):
+    plan = __spark_entry__.queries()["page_titles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
