@@ -69,3 +69,11 @@ def test_inline_markup():
         "<&>\"'": "&lt;&amp;&gt;&quot;&#39;", "a*b": "a*b", "**a*": "**a*", "": "", None: "", "**a** **b**": "<strong>a</strong> <strong>b</strong>", "*a* *b*": "<em>a</em> <em>b</em>",
     }
     assert {k: markdown.inline_html(k) for k in cases} == cases
+
+
+def test_media_addresses_name_their_parts_seldom():
+    from pyspark.sql import functions as F
+    from structdoc.functions import urls as U
+
+    for made, most in ((U.is_media_url, 1), (U.media_url, 16), (U.media_key, 4)):
+        assert str(made(F.col("address"))).count("address") <= most
