@@ -24,3 +24,37 @@ def test_formulas_take_one_walk(spark):
 def test_pages_are_read_once(spark):
     plan = __spark_entry__.queries()["page_titles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in plan
+
+
+ODD = (
+    '{"²":{"id":"s"},"3":{"id":"n"},"screen_name":"h","name":"N","core":{"user_results":{"result":{"legacy":{"name":"A","screen_name":"b"}}}},"rest_id":"7","full_text":"x","created_at":"2024-01-01",'
+    '"m":{"__typename":"Photo","url":"https://pbs.twimg.com/media/a.jpg","sizes":{"large":{"w":3}}},"f":{"kind":"LaTeX","value":"a_1"},"tex":{"display":"b^2"},"g":{"latex":"c"},"plain":[[],{"text":"no","n":[1,{}]}],'
+    '"body":"{\\"blocks\\":[{\\"text\\":\\"t\\",\\"depth\\":2,\\"data\\":{\\"id\\":3}}],\\"title\\":\\"In a string\\"}","title":"Title","content_state":{"blocks":[{"text":"u","inline_style_ranges":[{"offset":-1,"length":true,"style":"x"}]}]}}'
+)
+
+
+def test_what_tells_nothing_changes_no_article(spark):
+    from structdoc.operators import metadata
+
+    payloads = spark.createDataFrame([(1, 0, BODY), (2, 0, ODD), (3, 0, None)], "capture_id long, payload_idx int, body string")
+    whole, told = json_objects(payloads), json_objects(payloads, metadata.COLUMNS, names=metadata.FIELDS, keep=metadata.tells)
+    assert 0 < told.count() < whole.count() and "keys" not in told.columns
+    expected = spark.createDataFrame([(1, "a"), (2, "7"), (3, None)], "capture_id long, expected_id string")
+    urls = spark.createDataFrame([(1, None), (2, "https://x.com/h/article/7"), (3, "")], "capture_id long, article_url string")
+    finders = (
+        lambda o: metadata.best_article(o, expected).select("capture_id", "path", "title", "score", "content_state"), lambda o: metadata.author(o, urls), lambda o: metadata.post_metadata(o, expected),
+        metadata.media_index, metadata.post_index, metadata.formula_index,
+    )
+    for find in finders:
+        rows = sorted(map(repr, find(whole).collect()))
+        assert rows and sorted(map(repr, find(told).collect())) == rows
+
+
+def test_large_inputs_have_parts_of_bounded_size(spark, tmp_path):
+    from structdoc.plans import tables
+
+    spark.range(2000).selectExpr("id AS doc_id", "repeat(md5(CAST(id AS STRING)), 20) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet") if p.is_file())
+    assert tables.parts(spark, str(tmp_path), "documents", most=size // 40) in (40, 41)
+    assert tables.parts(spark, str(tmp_path), "documents") == spark.sparkContext.defaultParallelism
+    assert tables.fine(spark, str(tmp_path), "documents", most=size // 40).rdd.getNumPartitions() in (40, 41)
