@@ -58,3 +58,16 @@ def test_large_inputs_have_parts_of_bounded_size(spark, tmp_path):
     assert tables.parts(spark, str(tmp_path), "documents", most=size // 40) in (40, 41)
     assert tables.parts(spark, str(tmp_path), "documents") == spark.sparkContext.defaultParallelism
     assert tables.fine(spark, str(tmp_path), "documents", most=size // 40).rdd.getNumPartitions() in (40, 41)
+
+
+def test_contained_blocks_pass_in_order_without_groups(spark):
+    from structdoc.operators.blocks import drop_contained
+
+    long = "abcdefghij" * 3
+    texts = [(d, n, "paragraph", t) for d in (1, 2) for n, t in enumerate((long, f"{long}{d}", f"x{long}", "short", "short", *(f"{n}" * 25 for n in range(5)), long))] + [(1, 20, "list", long), (1, 21, "paragraph", f"{long}z")]
+    blocks = spark.createDataFrame(texts[::-1], "doc_id long, block_idx int, type string, text string").selectExpr("*", "CAST(NULL AS STRING) AS html")
+    found = drop_contained(blocks)
+    assert found.columns == blocks.columns
+    assert sorted((r.doc_id, r.block_idx) for r in found.collect()) == [*((1, n) for n in (0, 3, 4, 5, 6, 7, 8, 9, 10, 20)), *((2, n) for n in (0, 3, 4, 5, 6, 7, 8, 9, 10))]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan
