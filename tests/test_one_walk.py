@@ -71,3 +71,20 @@ def test_contained_blocks_pass_in_order_without_groups(spark):
     assert sorted((r.doc_id, r.block_idx) for r in found.collect()) == [*((1, n) for n in (0, 3, 4, 5, 6, 7, 8, 9, 10, 20)), *((2, n) for n in (0, 3, 4, 5, 6, 7, 8, 9, 10))]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "Join" not in plan
+
+
+def test_elements_have_only_what_is_written(spark):
+    from structdoc.sources.html import html_nodes
+
+    pages = spark.createDataFrame([(1, "<body><p>a <b>b</b></p><ul><li>c<ul><li>d</li></ul></li></ul></body>"), (2, None)], "page_id long, html string")
+    whole = html_nodes(pages)
+    for written in ((), ("text",), ("html",)):
+        bare = [c for c in whole.columns if c in written or c not in ("text", "html")]
+        some = html_nodes(pages, written)
+        assert some.select(*bare).collect() == whole.select(*bare).collect()
+        assert some.select(*(c for c in ("text", "html") if c not in written)).distinct().count() == (1 if len(written) < 2 else 0)
+
+
+def test_markdown_lines_are_placed_once(spark):
+    plan = __spark_entry__.queries()["markdown_blocks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
