@@ -87,27 +87,35 @@ def nearest_anchors(items: DataFrame, anchors: DataFrame) -> DataFrame:
     return met.select("page_id", "item_id", F.coalesce("before_text", F.lit("")).alias("before_text"), F.coalesce("after_text", F.lit("")).alias("after_text"))
 
 
-def title_candidates(nodes: DataFrame, root: DataFrame) -> DataFrame:
-    """Titles of pages with scores: page_id, text, score, origin, pre. Headings in the body count least."""
-    testid, role = F.coalesce(dom.attr("data-testid"), F.lit("")), dom.attr("role")
-    named = (
+def title_origin() -> Column:
+    """Why an element can be its page's title; null for others."""
+    testid = F.coalesce(dom.attr("data-testid"), F.lit(""))
+    return (
         F.when(testid.rlike("(?i)articletitle"), "explicit")
         .when(F.col("tag") == "h1", "h1")
-        .when((role == "heading") & (dom.attr("aria-level") == "1"), "heading")
+        .when((dom.attr("role") == "heading") & (dom.attr("aria-level") == "1"), "heading")
         .when((F.col("tag") == "meta") & F.coalesce(dom.attr("property"), dom.attr("name"), F.lit("")).isin("og:title", "twitter:title"), "meta")
         .when(F.col("tag") == "title", "document")
     )
+
+
+def title_score(origin: Column, raw: Column) -> Column:
+    """How likely a text of an origin is the title."""
+    base = F.lit(0)
+    for name, score in TITLE_SCORES.items():
+        base = F.when(origin == name, score).otherwise(base)
+    return base - F.when(origin.isin("explicit", "h1", "heading") & raw.rlike(ENGAGEMENT), 1200).otherwise(0)
+
+
+def title_candidates(nodes: DataFrame, root: DataFrame) -> DataFrame:
+    """Titles of pages with scores: page_id, text, score, origin, pre. Headings in the body count least."""
     raw = T.normalize_text(F.when(F.col("tag") == "meta", dom.attr("content")).otherwise(F.col("text")))
-    headings = nodes.where(F.col("tag").isin("h1", "h2", "h3") | (role == "heading"))
+    headings = nodes.where(F.col("tag").isin("h1", "h2", "h3") | (dom.attr("role") == "heading"))
     body = lookup.top_k(dom.inside(headings, root), ["page_id"], [F.col("pre")], 1).select("page_id", "pre", F.lit("body").alias("origin"), T.normalize_text(F.col("text")).alias("raw"))
     outside = nodes.join(dom.inside(nodes, root).select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
-    found = outside.select("page_id", "pre", named.alias("origin"), raw.alias("raw")).where("origin IS NOT NULL").unionByName(body)
+    found = outside.select("page_id", "pre", title_origin().alias("origin"), raw.alias("raw")).where("origin IS NOT NULL").unionByName(body)
     text = T.clean_title(F.col("raw"), F.lit(""), F.lit(""))
-    base = F.lit(0)
-    for origin, score in TITLE_SCORES.items():
-        base = F.when(F.col("origin") == origin, score).otherwise(base)
-    engaged = F.col("origin").isin("explicit", "h1", "heading") & F.col("raw").rlike(ENGAGEMENT)
-    return found.select("page_id", text.alias("text"), (base - F.when(engaged, 1200).otherwise(0)).alias("score"), "origin", "pre").where(T.is_plausible_title(F.col("text")))
+    return found.select("page_id", text.alias("text"), title_score(F.col("origin"), F.col("raw")).alias("score"), "origin", "pre").where(T.is_plausible_title(F.col("text")))
 
 
 def detect_title(nodes: DataFrame, root: DataFrame) -> DataFrame:
@@ -157,18 +165,26 @@ def polls(nodes: DataFrame) -> DataFrame:
     return met.groupBy("page_id", "poll_id").agg(F.filter(F.array_distinct(texts), lambda t: t != "").alias("options"))
 
 
+def named(text: str) -> tuple[Column, Column]:
+    """The handle, without its sign, and the name that a text in a name block can be; null for other texts."""
+    handle = F.regexp_extract(text, r"^@([A-Za-z0-9_]{1,15})$", 1)
+    return F.when(handle != "", handle), F.when((handle == "") & ~F.col(text).rlike("(?i)^follow") & (F.col(text) != ""), F.col(text))
+
+
+def author_of(url: Column, seen: Column, name: Column) -> tuple[Column, Column]:
+    """Handle and name of a page's author: the handle seen, else the address's first step; the name seen, else the handle."""
+    step = F.nullif(F.nullif(F.regexp_extract(U.path(url), "^/([A-Za-z0-9_]{1,15})(?:/|$)", 1), F.lit("")), F.lit("i"))
+    handle = F.coalesce(seen, step)
+    return handle, F.coalesce(name, F.concat(F.lit("@"), handle))
+
+
 def authors_in(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Handle and name of each page: the first @handle in a name block, else the address's first step. pages: page_id, url."""
-    named = dom.owner_of(nodes, F.coalesce(dom.attr("data-testid"), F.lit("")) == "User-Name", "block_id")
-    met = named.where("block_id <> node_id AND text IS NOT NULL").withColumn("t", T.collapse(F.col("text")))
-    handle = F.regexp_extract("t", r"^@([A-Za-z0-9_]{1,15})$", 1)
-    first = met.groupBy("page_id").agg(
-        F.min_by(F.when(handle != "", handle), F.when(handle != "", F.col("pre"))).alias("seen"),
-        F.min_by(F.when((handle == "") & ~F.col("t").rlike("(?i)^follow"), F.col("t")), F.when((handle == "") & ~F.col("t").rlike("(?i)^follow") & (F.col("t") != ""), F.col("pre"))).alias("name"),
-    )
-    step = F.nullif(F.nullif(F.regexp_extract(U.path(F.col("url")), "^/([A-Za-z0-9_]{1,15})(?:/|$)", 1), F.lit("")), F.lit("i"))
-    out = pages.join(first, "page_id", "left").select("page_id", F.coalesce("seen", step).alias("handle"), "name")
-    return out.select("page_id", "handle", F.coalesce("name", F.concat(F.lit("@"), F.col("handle"))).alias("name"))
+    blocks = dom.owner_of(nodes, F.coalesce(dom.attr("data-testid"), F.lit("")) == "User-Name", "block_id")
+    met = blocks.where("block_id <> node_id AND text IS NOT NULL").withColumn("t", T.collapse(F.col("text")))
+    first = met.groupBy("page_id").agg(*(F.min_by(c, F.when(c.isNotNull(), F.col("pre"))).alias(k) for k, c in zip(("seen", "name"), named("t"), strict=True)))
+    handle, name = author_of(F.col("url"), F.col("seen"), F.col("name"))
+    return pages.join(first, "page_id", "left").select("page_id", handle.alias("handle"), name.alias("name"))
 
 
 def ordered(blocks: DataFrame, key: str = "doc_id", top: str = "top", seq: str = "seq") -> DataFrame:
